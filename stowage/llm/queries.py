@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..session import table
-from . import seen
+from . import bpe, seen
 
 SOURCES = ("blobs", "output_files")
 
@@ -55,3 +55,10 @@ select distinct w.source_table, w.id as row_id from w join f on w.source_table =
 
 QUERIES = {"p3_found": p3_found, "p3_audit": p3_audit}
 SQL = {"p3_found": P3_FOUND}
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_column(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES["p6_ids"] = p6_ids
