@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..session import table
-from . import bpe, seen
+from . import bpe, seen, spans
 
 SOURCES = ("blobs", "output_files")
 
@@ -62,3 +62,15 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["p6_ids"] = p6_ids
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p8_share(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    return spans.shared_share(p8_found(spark, sf), table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES |= {"p8_found": p8_found, "p8_share": p8_share}
