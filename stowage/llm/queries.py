@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..session import table
-from . import bpe, seen, spans
+from . import bpe, leaks, seen, spans
 
 SOURCES = ("blobs", "output_files")
 
@@ -74,3 +74,19 @@ def p8_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p8_found": p8_found, "p8_share": p8_share}
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.removal_spans(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return p7_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES |= {"p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items}
