@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space that is trimmed, the algorithms, the default one.
-WHITE_SPACE = " \t\n\r\f\v "
+WHITE_SPACE = " \t\n\r\f\v"
 ALGORITHMS = ("blake3", "sha256")
 DEFAULT_ALGORITHM = "blake3"
 WELL_FORMED = "^(blake3|sha256):[0-9a-f]{64}$"

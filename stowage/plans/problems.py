@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, times
-from ..operators import compaction, intervals, orphans
+from ..operators import compaction, hierarchy, intervals, orphans
 from ..session import table
 
 MAX_GAP_US = 72 * 3_600_000_000
@@ -41,6 +41,42 @@ def blob_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "blobs").withColumn("key", digests.digest_key("digest", "algorithm"))
 
 
+# -- p1 ----------------------------------------------------------------------
+
+
+def forest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, place) and links (src, dst) of both forests; names carry the
+    forest's first letter and a bar."""
+    loads = recipe_loads(spark, sf)
+    current = latest(loads, "name", "recipe_id", "dependencies")
+    registered = table(spark, sf, "graph_nodes").select(digests.trimmed("fqn").alias("name"), F.col("node_index").alias("place")).where("name <> ''")
+    known = loads.select("name", F.col("recipe_id").alias("place")).unionByName(registered)
+    links = references(current, "name").select(F.col("name").alias("src"), F.col("ref").alias("dst"))
+    t = table(spark, sf, "recipe_templates").withColumn("name", digests.trimmed("name")).where("name <> ''")
+    parents = latest(t, "name", "template_id", "extends").select(F.col("name").alias("src"), digests.trimmed("extends").alias("dst")).where("dst <> ''")
+    templates = t.select("name", F.col("template_id").alias("place"))
+    mark = lambda df, letter, *cols: df.withColumns({c: F.concat(F.lit(letter + "|"), F.col(c)) for c in cols})
+    nodes = mark(known, "r", "name").unionByName(mark(templates, "t", "name"))
+    return nodes, mark(links, "r", "src", "dst").unionByName(mark(parents, "t", "src", "dst"))
+
+
+def _unmark(df: DataFrame, *cols: str) -> DataFrame:
+    kind = F.when(F.startswith("node", F.lit("r|")), F.lit("recipe")).otherwise(F.lit("template"))
+    return df.withColumn("forest", kind).withColumns({c: F.substring(F.col(c), F.lit(3), F.length(c)) for c in cols})
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = hierarchy.hierarchies(*forest(spark, sf))
+    return _unmark(out, "node", "root").select("forest", "node", "root", "depth")
+
+
+def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest way from each root down to each node, as text."""
+    out = hierarchy.hierarchies(*forest(spark, sf)).where("depth >= 0")
+    down = F.concat(F.reverse(F.transform("path", lambda x: F.substring(x, F.lit(3), F.length(x)))), F.array(F.substring("node", 3, 1 << 20)))
+    return _unmark(out.withColumn("way", F.array_join(down, " > ")), "node", "root").select("forest", "node", "root", "depth", "way")
+
+
 # -- p2 ----------------------------------------------------------------------
 
 
