@@ -38,7 +38,7 @@ RUN, PHRASE, ALLOWANCE = 12, 4, 6
 CHUNK_CHARS, ITEM_BLOCK_CHARS = 3_000_000, 4_000_000
 
 _MARKUP = r"</?[A-Za-z!][^<>]{0,200}>|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
-_INNER = "'’ʼ­​‌‍⁠﻿"
+_INNER = "'\u2019\u02bc\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _WORD = rf"[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]|[\p{{L}}\p{{N}}][[\p{{L}}\p{{N}}\p{{M}}{_INNER}]--[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]]*"
 _DROP = {ord(c): None for c in _INNER}
 
