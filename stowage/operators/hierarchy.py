@@ -180,6 +180,35 @@ class _Local:
         for v in part:
             self.roots[v], self.exits[v], self.bad[v], self.ring[v] = {}, exits, bad, name
 
+    def reach(self, everything: bool) -> pd.DataFrame:
+        """Rows (f, src, kind, dst): local nodes (``in``) and exits (``link``) that
+        each node, or each entry only, reaches; the local sets are bit masks."""
+        number = {v: i for i, v in enumerate(self.nodes)}
+        mask: dict[str, int] = {}
+        for part in self.parts:
+            inside, m, ring = set(part), 0, False
+            for v in part:
+                for c, *_ in self.links.get(v, ()):
+                    if c in inside:
+                        ring = True
+                    else:
+                        m |= mask[c] | 1 << number[c]
+            if ring:
+                for v in part:
+                    m |= 1 << number[v]
+            for v in part:
+                mask[v] = m
+        out: list[tuple] = []
+        for v in self.nodes:
+            if everything or v in self.entries:
+                m = mask[v]
+                while m:
+                    low = m & -m
+                    out.append((self.fragment, v, "in", self.nodes[low.bit_length() - 1]))
+                    m ^= low
+                out += [(self.fragment, v, "link", x) for x in self.exits[v]]
+        return pd.DataFrame(out, columns=["f", "src", "kind", "dst"])
+
     def _path(self, v: str, end: str, table: dict[str, dict]) -> list[str]:
         out: list[str] = []
         while v is not None:
@@ -285,30 +314,12 @@ def _settle(rows: DataFrame) -> DataFrame:
     )
 
 
-def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
-    """(node, root, depth, path) from nodes (name, place) and links (src, dst).
-
-    ``place`` is any number that orders nodes so that related ones are near (load
-    order); it only affects speed. ``path`` runs from below the node to the root.
-    Nodes from which a cycle can be reached have one row: root = the least name on
-    such a cycle, depth -1 on a cycle and -2 otherwise, no path.
-    """
+def _fragments(nodes: DataFrame, links: DataFrame, fragment_nodes: int) -> tuple[DataFrame, int]:
+    """Rows of all nodes and links, by fragment of their source; the fragments' number."""
     nodes = cut(nodes.where(F.col("name").isNotNull()).groupBy("name").agg(F.min(F.coalesce("place", F.lit(0)).cast("double")).alias("place")))
     count = nodes.count()
     fragments = max(1, -(-count // fragment_nodes))
-    bounds = nodes.approxQuantile("place", [i / fragments for i in range(1, fragments)], 0.1 / fragments) if fragments > 1 else []
-    # the fragment is the number of bounds at or below the place; a place shared
-    # by more nodes than a fragment holds is spread by the name
-    limits = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
-    f = F.size(F.filter(limits, lambda b: b <= F.col("place")))
-    repeated = sorted({b for b in bounds if bounds.count(b) > 1})
-    spread = F.lit(False)
-    low = f
-    for b in repeated:
-        n = bounds.count(b)
-        spread = F.col("place") == b
-        low = F.when(spread, f - F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")).otherwise(low)
-    placed = nodes.select("name", low.cast("int").alias("f"))
+    placed, fragments = _place(nodes, fragments)
     named = links.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
     to = named.join(placed.select(F.col("name").alias("dst"), F.col("f").alias("g")), "dst")
     full = placed.withColumnRenamed("name", "src").join(to, "src", "left")
@@ -323,11 +334,65 @@ def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGME
         F.col("src").alias("low"),
         F.when(linked, F.array("dst")).otherwise(F.array().cast("array<string>")).alias("path"),
     )
-    solved = _solve(rows, fragments)
+    return rows, fragments
+
+
+def _place(nodes: DataFrame, fragments: int) -> tuple[DataFrame, int]:
+    """(name, f): ranges of the place; where one place holds more nodes than a
+    fragment, its nodes are spread by name over the fragments it spans."""
+    bounds = nodes.approxQuantile("place", [i / fragments for i in range(1, fragments)], 0.1 / fragments) if fragments > 1 else []
+    if not bounds:
+        return nodes.select("name", F.lit(0).alias("f")), 1
+    limits = F.array(*map(F.lit, bounds))
+    f = F.size(F.filter(limits, lambda b: b <= F.col("place")))
+    spans = F.size(F.filter(limits, lambda b: b == F.col("place")))
+    spread = F.when(spans > 1, F.pmod(F.xxhash64("name"), spans).cast("int")).otherwise(F.lit(0))
+    return nodes.select("name", (f - spread).cast("int").alias("f")), fragments
+
+
+def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+    """(node, root, depth, path, cycle) from nodes (name, place) and links (src, dst).
+
+    ``place`` is any number that orders nodes so that related ones are near (load
+    order); it only affects speed. ``path`` runs from below the node to the root.
+    Nodes from which a cycle can be reached have one row: root = the least name on
+    such a cycle, depth -1 on a cycle and -2 otherwise, no path; nodes of one cycle
+    (strongly connected component) share a value of ``cycle``.
+    """
+    solved = _solve(*_fragments(nodes, links, fragment_nodes))
     cyc = F.col("kind") == "cyc"
     return solved.select(
         F.col("src").alias("node"),
         F.when(cyc, F.col("low")).otherwise(F.col("dst")).alias("root"),
         F.when(cyc, F.when(F.col("scc").isNotNull(), F.lit(-1)).otherwise(F.lit(-2))).otherwise(F.col("dist")).cast("bigint").alias("depth"),
         "path",
+        F.col("scc").alias("cycle"),
     )
+
+
+def _reach(rows: DataFrame, fragments: int) -> DataFrame:
+    rows = cut(rows)
+    shape = "f int, src string, kind string, dst string"
+    local = rows.groupBy("f").applyInPandas(lambda x: _Local(x).reach(True), shape)
+    if fragments <= 1:
+        return local.select("src", "dst").distinct()
+    quotient = _contract(rows).withColumns({"f": F.expr(f"f div {FAN}").cast("int"), "g": F.expr(f"g div {FAN}").cast("int")})
+    beyond = cut(_reach(quotient, -(-fragments // FAN)))
+    local = cut(local)
+    inner = local.where("kind = 'in'").select("src", "dst")
+    exits = local.where("kind = 'link'").select("src", F.col("dst").alias("x"))
+    far = exits.join(beyond.select(F.col("src").alias("x"), "dst"), "x").select("src", F.col("dst").alias("x"))
+    doors = exits.unionByName(far).distinct()
+    through = doors.join(inner.select(F.col("src").alias("x"), "dst"), "x").select("src", "dst")
+    return inner.unionByName(doors.select("src", F.col("x").alias("dst"))).unionByName(through).distinct()
+
+
+def reachability(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+    """(src, dst): every node with every node it reaches over one or more links,
+    by the same contraction; a node reaches itself only on a cycle."""
+    return _reach(*_fragments(nodes, links, fragment_nodes))
+
+
+def descendants(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+    """(node, descendant): links run from child to parent."""
+    return reachability(nodes, links, fragment_nodes).select(F.col("dst").alias("node"), F.col("src").alias("descendant"))

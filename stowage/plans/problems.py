@@ -77,6 +77,12 @@ def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _unmark(out.withColumn("way", F.array_join(down, " > ")), "node", "root").select("forest", "node", "root", "depth", "way")
 
 
+def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """All descendants of every node: the nodes whose links lead to it."""
+    out = hierarchy.descendants(*forest(spark, sf))
+    return _unmark(out, "node", "descendant").select("forest", "node", "descendant")
+
+
 # -- p2 ----------------------------------------------------------------------
 
 

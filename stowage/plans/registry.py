@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from . import problems, problems_sql
 
-QUERIES = {n: getattr(problems, n) for n in ("p1_found", "p1_paths", "p2_found", "p2_counts", "p4_found", "p4_plan", "p4_containers", "p4_archive", "p5_found")}
+QUERIES = {n: getattr(problems, n) for n in ("p1_found", "p1_paths", "p1_descendants", "p2_found", "p2_counts", "p4_found", "p4_plan", "p4_containers", "p4_archive", "p5_found")}
 SQL: dict[str, str] = dict(problems_sql.SQL)
