@@ -243,7 +243,8 @@ def evict_to_size(index: DataFrame, target: int, bucket: int = 86_400) -> DataFr
     whole = W.partitionBy(F.lit(0))
     # one row per bucket: this window is as long as the calendar
     bases = totals.withColumns({"_base": F.coalesce(F.sum("_t").over(upto), F.lit(0)), "_need": F.sum("_t").over(whole) - F.lit(target)})
-    due = rows.join(bases.where(F.col("_base") < F.col("_need")).drop("_t"), F.col("_b").eqNullSafe(bases["_b"])).drop(bases["_b"])
+    open_ = bases.where(F.col("_base") < F.col("_need")).select(F.col("_b").alias("_c"), "_base", "_need")
+    due = rows.join(open_, F.col("_b").eqNullSafe(F.col("_c")))
     w = W.partitionBy("_b").orderBy("last_accessed", "stored_at", "digest").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_base") + F.coalesce(F.sum("_size").over(w), F.lit(0))
     return due.withColumn("_before", before).where(F.col("_before") < F.col("_need")).select(*index.columns)

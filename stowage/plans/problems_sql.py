@@ -32,6 +32,40 @@ file_keys as (
 )
 """
 
+_FOREST = f"""
+with recursive {VIEWS},
+temps as (select {trim('name')} as name, template_id, {trim('extends')} as up from recipe_templates where {trim('name')} <> ''),
+nodes as (
+  select 'recipe' as forest, name as n from named union select 'recipe', {trim('fqn')} from graph_nodes where {trim('fqn')} <> ''
+  union select 'template', name from temps
+),
+all_links as (
+  select 'recipe' as forest, name as src, ref as dst from refs
+  union select 'template', name, up from (select *, row_number() over (partition by name order by template_id desc) as rn from temps) where rn = 1
+),
+links as (select l.* from all_links l join nodes d on l.forest = d.forest and l.dst = d.n),
+reach(forest, src, dst) as (select forest, src, dst from links union select r.forest, r.src, l.dst from reach r join links l on r.forest = l.forest and r.dst = l.src)
+"""
+
+P1_DESCENDANTS = _FOREST + "select forest, dst as node, src as descendant from reach"
+
+P1_FOUND = (
+    _FOREST
+    + """,
+ring as (select forest, src as n from reach where src = dst),
+bad as (select r.forest, r.src as n, min(r.dst) as least from reach r join ring g on r.forest = g.forest and r.dst = g.n group by r.forest, r.src),
+good as (select * from nodes where (forest, n) not in (select forest, n from bad)),
+ways(forest, node, root, depth) as (
+  select forest, n, n, 0 from good where (forest, n) not in (select forest, src from links)
+  union select w.forest, l.src, w.root, w.depth + 1 from ways w join links l on w.forest = l.forest and w.node = l.dst
+    join good g on g.forest = l.forest and g.n = l.src
+)
+select forest, node, root, cast(max(depth) as bigint) as depth from ways group by forest, node, root
+union all
+select b.forest, b.n, b.least, case when r.n is null then -2 else -1 end from bad b left join ring r on b.forest = r.forest and b.n = r.n
+"""
+)
+
 P2_FOUND = f"""
 with {VIEWS},
 lives as (
@@ -63,7 +97,7 @@ select source_table, period, reason, count(*) as orphans, count(distinct ref) as
 """
 
 #: ``..`` is resolved by removing one ``segment/..`` at a time.
-P4_FOUND = f"""
+_P4_SMALL = f"""
 with recursive {VIEWS},
 walk(raw, p, turn) as (
   select distinct path, '/' || array_to_string(list_filter(string_split(replace({trim('path')}, chr(92), '/'), '/'), lambda x: x <> '' and x <> '.'), '/') || '/', 0
@@ -78,11 +112,23 @@ files as (
 ),
 sizes as (select key, max(size) as size from blob_keys group by key),
 small as (
-  select f.path, f.key as digest, regexp_extract(f.path, '^(.*)/[^/]*$', 1) as dir from files f join sizes s on f.key = s.key where f.rn = 1 and s.size < 65536
-)
-select path, digest from small where dir in (select dir from small group by dir having count(*) >= 20)
+  select f.path, f.key as digest, s.size, regexp_extract(f.path, '^(.*)/[^/]*$', 1) as dir from files f join sizes s on f.key = s.key where f.rn = 1 and s.size < 65536
+),
+crowded as (select * from small where dir in (select dir from small group by dir having count(*) >= 20))
 """
 
+P4_FOUND = _P4_SMALL + "select path, digest from crowded"
+
+#: One lane per directory, as long as none holds more files than a lane.
+P4_PLAN = (
+    _P4_SMALL
+    + """, b as (select *, coalesce(sum(size) over (partition by dir order by path rows between unbounded preceding and 1 preceding), 0)::bigint as before from crowded)
+select dir || '#0#' || (before // 33554432) as container, (before - min(before) over (partition by dir, before // 33554432))::bigint as "offset", size as length, path, digest from b
+"""
+)
+
+P4_CONTAINERS = f'select count(distinct container) as containers, count(*) as files, sum(length)::bigint as bytes from ({P4_PLAN})'
+
 P4_ARCHIVE = """
 select concat_ws('/', source, cast(doc_id as varchar)) as path, cast(octet_length(encode(text)) as bigint) as length, sha256(text) as checksum, true as ok
 from documents where text is not null
@@ -108,4 +154,4 @@ union all
 select h, 'gap', s, t from gaps where t is not null and t - s <= 259200000000
 """
 
-SQL = {"p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p4_found": P4_FOUND, "p4_archive": P4_ARCHIVE, "p5_found": P5_FOUND}
+SQL = {"p1_found": P1_FOUND, "p1_descendants": P1_DESCENDANTS, "p4_plan": P4_PLAN, "p4_containers": P4_CONTAINERS, "p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p4_found": P4_FOUND, "p4_archive": P4_ARCHIVE, "p5_found": P5_FOUND}
