@@ -8,14 +8,16 @@ through are verified by an exact join on the key. The filter's size is known
 from the parents' count before it is built; beyond ``max_filter_bytes`` it is
 not broadcast and all references go through the exact join.
 
-Skew: parents are pre-aggregated map-side to one row per (key, second) and then
-to bounded arrays (one entry per day, and per second of one day), so a key that
-holds a third of the puts never forms an unbounded group. A hot key among the
+Skew: parents are pre-aggregated map-side to one row per (key, day), then to one
+per key with an entry per day; only references that these leave open meet the
+single starts of one day (one per second). So a key that holds a third of the
+puts never forms an unbounded group. A hot key among the
 references only meets one parent row; AQE splits its partition.
 
-Defined results: null ``ref`` or null ``at`` -> no case (``at`` null: only
-``missing`` can be decided, and is); parents with null key or ``since`` are
-ignored; repeated rows of a reference count once; other columns pass through.
+Defined results: a null ``ref`` is no case; with a null ``at`` only ``missing``
+can be decided, and is; parents with null key or ``since`` are ignored; rows
+repeated alike count once; either table may be empty; columns not asked for in
+``keep`` are dropped, so extra ones of any name do no harm.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Bits of filter per parent key, bits set per key, 64-bit words per block.
 BITS_PER_KEY, PROBES, WORDS = 16, 4, 8
 MAX_FILTER_BYTES = 64 << 20
@@ -65,53 +69,55 @@ def bloom_probe(refs: DataFrame, key: str, table: DataFrame, blocks: int) -> Dat
 
 
 def lifetimes(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, since, until): per key the first start and, per day of start, the
-    latest end; and per (key, day) the starts of that day with their ends."""
-    puts = (
-        parents.where(F.col("key").isNotNull() & F.col("since").isNotNull())
-        .groupBy("key", "since")
-        .agg(F.max(F.coalesce("until", F.lit(FOREVER))).alias("until"))
-        .withColumn("day", F.expr(f"since div {DAY}"))
-    )
-    per_day = puts.groupBy("key", "day").agg(
-        F.min("since").alias("first"), F.max("until").alias("last"), F.collect_list(F.struct("since", "until")).alias("starts")
+    """From (key, since, until): per key its first start with the latest end of that
+    start and, per day of start, the latest end; and per (key, day) all starts."""
+    puts = parents.where(F.col("key").isNotNull() & F.col("since").isNotNull()).select(
+        "key", "since", F.coalesce("until", F.lit(FOREVER)).alias("until"), F.expr(f"since div {DAY}").alias("day")
     )
-    per_key = per_day.groupBy("key").agg(F.min("first").alias("_first"), F.collect_list(F.struct("day", "last")).alias("_days"))
-    return per_key, per_day.select("key", F.col("day").alias("_day"), F.col("starts").alias("_starts"))
-
-
-def find_orphans(refs: DataFrame, parents: DataFrame, parent_count: int | None = None, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """Rows of ``refs`` whose ``ref`` has no parent alive at second ``at``, with
-    ``reason``: ``missing``, ``late`` (all parents begin later) or ``deleted``."""
-    refs = refs.where(F.col("ref").isNotNull())
-    keep = [F.col(f"`{c}`") for c in refs.columns]
-    count = parents.count() if parent_count is None else parent_count
-    blocks = bloom_blocks(count)
-    missing = None
+    lead = F.min(F.struct("since", (-F.col("until")).alias("minus")))
+    days = puts.groupBy("key", "day").agg(lead.alias("lead"), F.max("until").alias("last"))
+    per_key = days.groupBy("key").agg(F.min("lead").alias("_lead"), F.collect_list(F.struct("day", "last")).alias("_days"))
+    starts = puts.groupBy("key", "day", "since").agg(F.max("until").alias("until"))
+    per_day = starts.groupBy("key", "day").agg(F.collect_list(F.struct("since", "until")).alias("_starts"))
+    return per_key, per_day.select("key", F.col("day").alias("_day"), "_starts")
+
+
+def find_orphans(refs: DataFrame, parents: DataFrame, keep: list[str] | None = None, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """(keep..., ref, at, reason) of the references whose ``ref`` has no parent alive
+    at second ``at``: ``missing``, ``late`` (all parents begin later) or ``deleted``.
+
+    ``keep``: the columns to carry along (none by default); they come back under
+    their names, whatever these are, unless one is ``ref``, ``at`` or ``reason``.
+    """
+    keep = [c for c in keep or [] if c not in ("ref", "at", "reason")]
+    carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    refs = refs.where(F.col("ref").isNotNull()).select("ref", F.col("at").cast("bigint").alias("at"), carried.alias("x"))
+    parents = parents.select("key", F.col("since").cast("bigint").alias("since"), F.col("until").cast("bigint").alias("until"))
+    blocks = bloom_blocks(parents.count())
+    parts = []
     if blocks * 8 * WORDS <= max_filter_bytes:
         probed = bloom_probe(refs, "ref", bloom_table(parents, "key", blocks), blocks)
-        missing = probed.where(~F.col("_maybe")).select(*keep, F.lit("missing").alias("reason"))
-        refs = probed.where("_maybe").select(*keep)
+        parts.append(probed.where(~F.col("_maybe")).select("ref", "at", "x", F.lit("missing").alias("reason")))
+        refs = probed.where("_maybe").select("ref", "at", "x")
     per_key, per_day = lifetimes(parents)
-    at = F.col("at")
+    at, first = F.col("at"), F.col("_lead.since")
     day = F.expr(f"at div {DAY}")
-    alive_before = F.exists("_days", lambda d: (d["day"] < day) & (d["last"] > at))
-    joined = refs.join(per_key.withColumnRenamed("key", "ref"), "ref", "left").withColumn(
-        "reason", F.when(F.col("_first").isNull(), F.lit("missing")).when(at.isNull(), F.lit(None)).when(at < F.col("_first"), F.lit("late"))
-    )
-    joined = joined.withColumn("_open", F.col("reason").isNull() & at.isNotNull() & ~F.coalesce(alive_before, F.lit(False)))
-    sure = joined.where(F.col("reason").isNotNull()).select(*keep, "reason")
+    alive = ((at >= first) & (at < -F.col("_lead.minus"))) | F.exists("_days", lambda d: (d["day"] < day) & (d["last"] > at))
+    reason = F.when(F.col("_lead").isNull(), F.lit("missing")).when(at < first, F.lit("late")).otherwise(F.lit("open"))
+    joined = refs.join(per_key.withColumnRenamed("key", "ref"), "ref", "left")
+    parts.append(joined.where(F.col("_lead").isNull() | (at.isNotNull() & ~alive)).select("ref", "at", "x", reason.alias("reason")))
+    # few rows are left: orphans, and references to be held against one day's starts
+    doubtful = cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     same_day = F.exists("_starts", lambda s: (s["since"] <= at) & (s["until"] > at))
     rest = (
-        joined.where("_open")
-        .select(*keep, day.alias("_day"))
+        doubtful.where("reason = 'open'")
+        .withColumn("_day", day)
         .join(per_day.withColumnRenamed("key", "ref"), ["ref", "_day"], "left")
         .where(~F.coalesce(same_day, F.lit(False)))
-        .select(*keep, F.lit("deleted").alias("reason"))
+        .select("ref", "at", "x", F.lit("deleted").alias("reason"))
     )
-    out = sure.unionByName(rest)
-    out = out if missing is None else out.unionByName(missing)
-    return out.dropDuplicates()
+    out = doubtful.where("reason <> 'open'").unionByName(rest)
+    return out.select(*[F.col("x")[c].alias(c) for c in keep], "ref", "at", "reason").dropDuplicates()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

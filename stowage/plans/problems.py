@@ -93,7 +93,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     lives = loads.groupBy("name").agg(F.min(times.micros("loaded_at")).alias("since"), F.max_by(F.struct("removed_at"), F.col("recipe_id")).alias("c"))
     lives = lives.select(F.col("name").alias("key"), "since", times.micros("c.removed_at").alias("until"))
     asked = references(current, "name", "recipe_id", "loaded_at").select(F.col("recipe_id").alias("source_id"), "ref", times.micros("loaded_at").alias("at"), F.to_date("loaded_at").cast("string").alias("period"))
-    a = orphans.find_orphans(asked, lives).withColumn("source_table", F.lit("recipes"))
+    a = orphans.find_orphans(asked, lives, ["source_id", "period"]).withColumn("source_table", F.lit("recipes"))
 
     blobs = blob_rows(spark, sf).select("key", F.col("stored_at").alias("since"), F.col("removed_at").alias("until"))
     key = digests.digest_key("digest")
@@ -107,7 +107,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
             F.to_date("written_at").cast("string").alias("period"),
         )
     )
-    b = orphans.find_orphans(files, blobs).withColumn("source_table", F.lit("output_files"))
+    b = orphans.find_orphans(files, blobs, ["source_id", "period"]).withColumn("source_table", F.lit("output_files"))
     return a.unionByName(b).select("source_table", "source_id", "ref", "reason", "period")
 
 
