@@ -8,11 +8,13 @@ checksum; ``unpack`` and ``lookup`` read them back, in parallel, byte for byte.
 A group (directory) of any size is split by a hash of the path into lanes of at
 most ``lane_files`` expected files, so no task holds a whole hot group; a lane's
 running sum of sizes cuts it into containers of about ``target_bytes``. A file
-never spans containers; one that exceeds the target has a container of its own.
+never spans containers; a container holds the files that begin in its stretch.
 
 Defined results: files with null path or size are not packed; empty files take
 an index entry of length 0; of repeated paths each row must be one file
-(callers reduce to current rows first); empty input gives empty containers.
+(callers reduce to current rows first); files in no group (null) are one group;
+empty input gives no containers; extra columns stay, but those of the names that
+the plan adds (container, offset, length) are replaced.
 """
 
 from __future__ import annotations
@@ -30,14 +32,21 @@ LANE_FILES = 65_536
 def crowded_small_files(files: DataFrame, group: str = "directory", small: int = SMALL_BYTES, crowd: int = CROWDED) -> DataFrame:
     """Files below ``small`` bytes in groups that hold ``crowd`` or more of them;
     adds ``group_files``. Counted with a partial aggregate, then joined back."""
-    tiny = files.where(F.col("size") < small)
+    tiny = files.drop("group_files").where(F.col("size") < small)
     counts = tiny.groupBy(group).agg(F.count("*").alias("group_files")).where(F.col("group_files") >= crowd)
-    return tiny.join(counts, group)
+    return _with_counts(tiny, counts, group)
+
+
+def _with_counts(files: DataFrame, counts: DataFrame, group: str) -> DataFrame:
+    """Joined on the group, where null is a group like any other."""
+    named = counts.withColumnRenamed(group, "_group")
+    return files.join(named, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def container_plan(files: DataFrame, group: str = "directory", target_bytes: int = TARGET_BYTES, lane_files: int = LANE_FILES) -> DataFrame:
     """Adds ``container`` (group, lane, number), ``offset`` and ``length`` to files
     with ``path``, ``size`` and ``group_files``."""
+    files = files.drop("container", "offset", "length", "_lane", "_before", "_no")
     lanes = F.ceil(F.col("group_files") / F.lit(lane_files))
     lane = F.pmod(F.xxhash64("path"), lanes).cast("int")
     w = W.partitionBy(group, "_lane").orderBy("path")
@@ -56,9 +65,9 @@ def container_sizes(plan: DataFrame) -> DataFrame:
 
 def pack(files: DataFrame, group: str = "directory", target_bytes: int = TARGET_BYTES, lane_files: int = LANE_FILES) -> DataFrame:
     """(container, block, index) of files with ``path`` and ``content`` (binary)."""
-    sized = files.where(F.col("content").isNotNull()).withColumn("size", F.octet_length("content").cast("bigint"))
+    sized = files.select(group, "path", "content").where(F.col("content").isNotNull() & F.col("path").isNotNull()).withColumn("size", F.octet_length("content").cast("bigint"))
     counts = sized.groupBy(group).agg(F.count("*").alias("group_files"))
-    plan = container_plan(sized.join(counts, group), group, target_bytes, lane_files)
+    plan = container_plan(_with_counts(sized, counts, group), group, target_bytes, lane_files)
     entry = F.struct("offset", "path", "length", F.sha2("content", 256).alias("checksum"))
     return plan.select("container", "offset", "content", entry.alias("e")).groupBy("container").agg(
         F.expr("listagg(content) within group (order by offset, e.length, e.path)").alias("block"), F.array_sort(F.collect_list("e")).alias("index")

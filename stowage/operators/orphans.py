@@ -29,7 +29,7 @@ from ..session import cut
 
 #: Bits of filter per parent key, bits set per key, 64-bit words per block.
 BITS_PER_KEY, PROBES, WORDS = 16, 4, 8
-MAX_FILTER_BYTES = 64 << 20
+MAX_FILTER_BYTES = 32 << 20
 FOREVER = (1 << 62) - 1
 DAY = 86_400
 

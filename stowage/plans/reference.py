@@ -400,8 +400,7 @@ def evict_largest_freed(spark, sf):
 
 @query(V + "select digest, algorithm, size, stored_at, access_count, last_accessed, compression_format from idx")
 def index_upsert(spark, sf):
-    """Old index: puts with an even id; new puts: the odd ones. Both halves together
-    are all puts, so the result is the whole index."""
+    """All puts into an empty index: the latest of each digest stays."""
     rows = problems.blob_rows(spark, sf).select(
         F.col("key").alias("digest"), F.substring_index("key", ":", 1).alias("algorithm"), "size", "stored_at", "access_count", "last_accessed", "compression_format", "blob_id"
     )
