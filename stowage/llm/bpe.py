@@ -158,18 +158,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str | None], chunk_chars: int) -> Iterator[tuple[int, int]]:
     a, chars = 0, 0
     for i, t in enumerate(texts):
         chars += len(t or "")
-        if chars >= CHUNK_CHARS:
+        if chars >= chunk_chars:
             yield a, i + 1
             a, chars = i + 1, 0
     if a < len(texts):
         yield a, len(texts)
 
 
-def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+def encode_column(df: DataFrame, key: str, text: str, path: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(key, ids): the ids of ``text``, without special tokens, row by row."""
     path = path or os.path.join(TOKENIZERS, VOCABULARY)
     kind = df.schema[key].dataType.simpleString()
@@ -179,7 +179,7 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -
         e = encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
+            for a, b in _chunks(texts, chunk_chars):
                 bounds, ids = e.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[key, "ids"])

@@ -177,7 +177,7 @@ def _shard(texts: list[str], items: Items, cut: Words, seen: dict[str, int]) ->
             yield int(text[a]), int(item[a]), found
 
 
-def _find(held):
+def _find(held, chunk_chars: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, cut, seen = held.value, Words(), {}
 
@@ -198,7 +198,7 @@ def _find(held):
                 ids.append(i)
                 texts.append(t)
                 chars += len(t)
-                if chars >= CHUNK_CHARS:
+                if chars >= chunk_chars:
                     yield block(ids, texts)
                     ids, texts, chars = [], [], 0
         if ids and len(items.phrases):
@@ -207,7 +207,7 @@ def _find(held):
     return run
 
 
-def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc, item, a, b): where each item leaks into each text, in code points."""
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & (F.char_length(text) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
@@ -218,18 +218,18 @@ def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     for n in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)
         held = spark.sparkContext.broadcast(Items([(r.i, r.t) for r in part.orderBy("i").collect()]))
-        one = rows.mapInArrow(_find(held), "doc bigint, item bigint, a bigint, b bigint")
+        one = rows.mapInArrow(_find(held, chunk_chars), "doc bigint, item bigint, a bigint, b bigint")
         out = one if out is None else out.unionByName(one)
     return spark.createDataFrame([], "doc bigint, item bigint, a bigint, b bigint") if out is None else out
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per document and item that leaked into it."""
-    found = leak_spans(docs, key, text, items, item_key, item_text)
+    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars)
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key)).dropDuplicates()
 
 
-def removal_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def removal_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(key, span_start, span_end): the leaked passages of each text, merged."""
-    found = leak_spans(docs, key, text, items, item_key, item_text).select("doc", "a", "b")
+    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars).select("doc", "a", "b")
     return merge_spans(found, "doc", "a", "b").select(F.col("doc").alias(key), F.col("a").alias("span_start"), F.col("b").alias("span_end"))

@@ -30,8 +30,9 @@ from ..session import shuffle_partitions
 from .ribbon import Ribbon
 
 #: Fingerprint bits, keys per sealed batch, rows per block of the combiner.
-BITS, BATCH_KEYS, BLOCK_ROWS = 32, 32_768, 131_072
-SHARD_ROWS = 250_000
+BITS, BATCH_KEYS, BLOCK_ROWS = 32, 4_096, 131_072
+#: Rows per shard (about a dozen batches) and per task.
+SHARD_ROWS, TASK_ROWS = 50_000, 250_000
 ABSENT_PER_BATCH = 4_096
 
 _ROW = "part int, id bigint, hi bigint, lo bigint, shard int"
@@ -78,8 +79,8 @@ def _combine(shards: int):
 class _Shard:
     """Open batch and sealed filters of one shard."""
 
-    def __init__(self, bits: int):
-        self.bits, self.filters = bits, []
+    def __init__(self, bits: int, batch_keys: int):
+        self.bits, self.batch_keys, self.filters = bits, batch_keys, []
         self.open = np.empty(0, _KEY)
         self.keys = 0
 
@@ -103,16 +104,16 @@ class _Shard:
         new = both[asked[~old]]
         self.keys += len(new)
         self.open = np.concatenate([self.open, new])
-        while len(self.open) >= BATCH_KEYS:
-            full, self.open = self.open[:BATCH_KEYS], self.open[BATCH_KEYS:]
+        while len(self.open) >= self.batch_keys:
+            full, self.open = self.open[: self.batch_keys], self.open[self.batch_keys :]
             self.filters.append(Ribbon(full["hi"].copy(), full["lo"].copy(), self.bits))
         return out
 
 
-def _shards(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[tuple[int, int, _Shard | None, np.ndarray, np.ndarray | None]]:
+def _shards(batches: Iterable[pa.RecordBatch], bits: int, batch_keys: int) -> Iterator[tuple[int, int, _Shard | None, np.ndarray, np.ndarray | None]]:
     """Per run of rows of one (shard, part), sorted by id: its state, ids, answers."""
     now, state = None, None
-    for x in _blocks(batches, BATCH_KEYS):
+    for x in _blocks(batches, batch_keys):
         key = x["shard"].astype(np.int64) * 256 + x["part"]
         cuts = np.flatnonzero(np.diff(key)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(key)]):
@@ -123,15 +124,15 @@ def _shards(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[tuple[int,
             if now != (shard, part):
                 if state is not None:
                     yield now[0], now[1], state, np.empty(0, np.int64), None
-                now, state = (shard, part), _Shard(bits)
+                now, state = (shard, part), _Shard(bits, batch_keys)
             yield shard, part, None, ids, state.seen(ids, x["hi"][a:b], x["lo"][a:b])
     if state is not None:
         yield now[0], now[1], state, np.empty(0, np.int64), None
 
 
-def _answer(bits: int):
+def _answer(bits: int, batch_keys: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, part, _, ids, seen in _shards(batches, bits):
+        for shard, part, _, ids, seen in _shards(batches, bits, batch_keys):
             ids = ids if shard < 0 else ids[seen] if seen is not None else ids
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(ids.astype(np.int64))], names=["part", "id"])
@@ -139,9 +140,9 @@ def _answer(bits: int):
     return run
 
 
-def _audit(bits: int):
+def _audit(bits: int, batch_keys: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, part, state, _, _ in _shards(batches, bits):
+        for shard, part, state, _, _ in _shards(batches, bits, batch_keys):
             if state is None:
                 continue
             # absent: 128-bit keys drawn apart from the data, checked against nothing but chance 2**-128
@@ -167,21 +168,22 @@ def _sharded(parts: list[DataFrame], rows: int | None) -> DataFrame:
         )
         keyed = one if keyed is None else keyed.unionByName(one)
     count = rows if rows is not None else sum(df.count() for df in parts)
-    tasks = max(shuffle_partitions(keyed.sparkSession), -(-count // SHARD_ROWS))
-    settled = keyed.mapInArrow(_combine(4 * tasks), _ROW)
+    shards = max(1, -(-count // SHARD_ROWS))
+    tasks = min(shards, max(shuffle_partitions(keyed.sparkSession), -(-count // TASK_ROWS)))
+    settled = keyed.mapInArrow(_combine(shards), _ROW)
     return settled.repartition(tasks, "shard").sortWithinPartitions("shard", "part", "id")
 
 
-def seen_before(parts: list[DataFrame], bits: int = BITS, rows: int | None = None) -> DataFrame:
+def seen_before(parts: list[DataFrame], bits: int = BITS, rows: int | None = None, batch_keys: int = BATCH_KEYS) -> DataFrame:
     """(part, id) of the rows of ``parts`` (each with id, key) whose key occurs in
     the same part under a smaller id."""
-    return _sharded(parts, rows).mapInArrow(_answer(bits), "part int, id bigint").dropDuplicates()
+    return _sharded(parts, rows).mapInArrow(_answer(bits, batch_keys), "part int, id bigint").dropDuplicates()
 
 
-def audit(parts: list[DataFrame], bits: int = BITS, rows: int | None = None) -> DataFrame:
+def audit(parts: list[DataFrame], bits: int = BITS, rows: int | None = None, batch_keys: int = BATCH_KEYS) -> DataFrame:
     """Per part: keys held, sealed filters, their bytes, certainly absent keys
     probed, wrong answers among them, the measured rate and the expected bound."""
-    per = _sharded(parts, rows).mapInArrow(_audit(bits), "part bigint, keys bigint, filters bigint, bytes bigint, probes bigint, wrong bigint")
+    per = _sharded(parts, rows).mapInArrow(_audit(bits, batch_keys), "part bigint, keys bigint, filters bigint, bytes bigint, probes bigint, wrong bigint")
     bound = F.max("filters") * F.lit(2.0**-bits)
     out = per.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("keys", "filters", "bytes", "probes", "wrong")], bound.alias("bound"))
     return out.withColumn("rate", F.col("wrong") / F.col("probes"))

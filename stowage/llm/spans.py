@@ -72,7 +72,7 @@ def window_hashes(codes: np.ndarray, length: int, seed: int) -> np.ndarray:
         power, size = _join(power[:-size], power[size:]), size * 2
 
 
-def _texts(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(batches: Iterable[pa.RecordBatch], least: int, chunk_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of whole texts of at least ``least`` code points: ids, code points
     of all texts, offsets (len + 1)."""
     ids, parts, sizes, chars = [], [], [], 0
@@ -89,7 +89,7 @@ def _texts(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple[np.n
             parts.append(t.encode("utf-32-le", "surrogatepass"))
             sizes.append(len(t))
             chars += len(t)
-            if chars >= CHUNK_CHARS:
+            if chars >= chunk_chars:
                 yield block()
                 ids, parts, sizes, chars = [], [], [], 0
     if ids:
@@ -126,9 +126,9 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _emit_anchors(length: int):
+def _emit_anchors(length: int, chunk_chars: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, codes, offsets in _texts(batches, length):
+        for ids, codes, offsets in _texts(batches, length, chunk_chars):
             text, _, h = _anchors(offsets, codes, length)
             order = np.argsort(h, kind="stable")
             heads = _groups(order, h)
@@ -180,13 +180,13 @@ def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _emit_windows(bitmap, part: int, parts: int, length: int):
+def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
     """Per block: spans settled inside it (h null), and the windows that must meet
     those of other blocks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bitmap.value
-        for ids, codes, offsets in _texts(batches, length):
+        for ids, codes, offsets in _texts(batches, length, chunk_chars):
             text, at, h = _anchors(offsets, codes, length)
             mine = _holds(held, h)
             if parts > 1:
@@ -237,14 +237,14 @@ def _emit_windows(bitmap, part: int, parts: int, length: int):
     return run
 
 
-def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(key, span_start, span_end): the maximal stretches of each record's text
     that lie in runs of ``length`` or more characters of another record."""
     if length < PERIOD + 16:
         raise ValueError(f"length must be at least {PERIOD + 16}")
     spark = df.sparkSession
     rows = df.where(F.char_length(text) >= length).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    anchors = rows.mapInArrow(_emit_anchors(length), "h bigint, low bigint, high bigint")
+    anchors = rows.mapInArrow(_emit_anchors(length, chunk_chars), "h bigint, low bigint, high bigint")
     shared = cut(anchors.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("h"))
     count = shared.count()
     parts = max(1, -(-count * BITS_PER_ANCHOR // (8 * max_filter_bytes)))
@@ -252,7 +252,7 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_f
     for part in range(parts):
         mine = shared if parts == 1 else shared.mapInArrow(_of_part(part, parts), "h bigint")
         bitmap = spark.sparkContext.broadcast(_bitmap(mine, -(-count // parts)))
-        one = rows.mapInArrow(_emit_windows(bitmap, part, parts, length), "h1 bigint, h2 bigint, doc bigint, a bigint, b bigint")
+        one = rows.mapInArrow(_emit_windows(bitmap, part, parts, length, chunk_chars), "h1 bigint, h2 bigint, doc bigint, a bigint, b bigint")
         found = one if found is None else found.unionByName(one)
     w = W.partitionBy("h1", "h2")
     met = found.where(F.col("h1").isNotNull()).withColumns({"low": F.min("doc").over(w), "high": F.max("doc").over(w)}).where("low <> high and a >= 0")
