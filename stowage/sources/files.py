@@ -19,8 +19,9 @@ MANIFEST = (
 
 
 def read_files(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
-    """(path, size, content) of every file below ``root``, hidden ones too; paths are
-    relative to ``base``."""
+    """(path, size, content) of every file below ``root``, with paths relative to
+    ``base``; names that begin with ``.`` or ``_`` are left out, as in all of Spark's
+    listings."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = (base or root).rstrip("/") + "/"
     full = F.regexp_replace("path", "^file:(//)?", "")
@@ -34,7 +35,7 @@ def hashed_files(spark: SparkSession, root: str, patterns: list[str]) -> DataFra
 
 def expand_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
     """Files that are an output (path) or lie below one; missing outputs give none."""
-    ways = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.substring_index(F.col("path"), "/", i.cast("int")))
+    ways = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.call_function("substring_index", F.col("path"), F.lit("/"), i))
     below = files.withColumn("output", F.explode(ways))
     return below.join(outputs.select(F.col("path").alias("output")).distinct(), "output", "left_semi").drop("output").dropDuplicates(["path"])
 
