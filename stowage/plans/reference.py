@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chunking, codec, digests, render, signing, versions
+from ..functions import blake3, chunking, codec, digests, render, signing, versions
 from ..operators import graph, overlay, selection, store
 from ..session import table
 from . import problems
@@ -616,6 +616,12 @@ def chunk_stats(spark, sf):
     return chunking.chunk_stats(fastcdc_chunks(spark, sf), "doc_id")
 
 
+@query()
+def blake3_digests(spark, sf):
+    docs = table(spark, sf, "documents").where("text is not null")
+    return docs.select("doc_id", blake3.blake3(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query("select doc_id, true as same from documents where text is not null")
 def compress_round_trip(spark, sf):
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("data"))
