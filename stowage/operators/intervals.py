@@ -20,15 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Width of a time bucket in the unit of the input (microseconds: 4 days).
+#: Width of a time bucket in the unit of the input (microseconds: 4 days), and the
+#: boundaries that a bucket of one entity may hold before the width is divided.
 BUCKET = 4 * 86_400_000_000
+BUCKET_ROWS = 2_000_000
 
 
-def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap: int | None = None, bucket: int = BUCKET) -> DataFrame:
+def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap: int | None = None, bucket: int | None = None) -> DataFrame:
     """(entity, kind, start_us, end_us) with kind ``busy`` or ``gap``; gaps longer
-    than ``max_gap`` are left out where it is given."""
+    than ``max_gap`` are left out where it is given. Without ``bucket`` its width is
+    ``BUCKET``, divided where the busiest (entity, bucket) holds too many rows."""
     e, s, t = F.col(entity), F.col(start), F.col(end)
     rows = df.where(e.isNotNull() & s.isNotNull() & t.isNotNull() & (t > s))
+    if bucket is None:
+        full = rows.groupBy(e, F.floor(s / F.lit(BUCKET))).count().agg(F.max("count")).first()[0] or 0
+        bucket = max(1, BUCKET // max(1, -(-2 * full // BUCKET_ROWS)))
     events = (
         rows.select(e.alias("k"), F.explode(F.array(F.struct(s.alias("at"), F.lit(1).alias("d")), F.struct(t.alias("at"), F.lit(-1).alias("d")))).alias("x"))
         .select("k", "x.at", "x.d")

@@ -110,10 +110,10 @@ def output_sizes(outputs: DataFrame) -> DataFrame:
 
 def cached_bytes(index: DataFrame, manifests: DataFrame, size: Column) -> DataFrame:
     """Blob and manifest bytes together."""
-    a = index.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("blob_bytes"))
-    b = manifests.agg(F.coalesce(F.sum(size), F.lit(0)).alias("manifest_bytes"))
-    # both sides are one row each
-    return a.join(F.broadcast(b), F.lit(True)).select(F.col("blob_bytes").cast("bigint"), F.col("manifest_bytes").cast("bigint"), (F.col("blob_bytes") + F.col("manifest_bytes")).cast("bigint").alias("bytes"))
+    a = index.select(F.col("size").cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("m"))
+    b = manifests.select(F.lit(0).cast("bigint").alias("b"), size.cast("bigint").alias("m"))
+    sums = a.unionByName(b).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("blob_bytes"), F.coalesce(F.sum("m"), F.lit(0)).alias("manifest_bytes"))
+    return sums.withColumn("bytes", F.col("blob_bytes") + F.col("manifest_bytes"))
 
 
 def dedup(blobs: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def freed(evicted: DataFrame) -> DataFrame:
     return evicted.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes"))
 
 
-def evict_to_size(index: DataFrame, target: int, bucket: int = 86_400) -> DataFrame:
+def evict_to_size(index: DataFrame, target: int, bucket: int = 3_600) -> DataFrame:
     """Rows to delete, least recently used first, until at most ``target`` bytes stay.
 
     The running sum is taken within time buckets and over the buckets' totals, so
