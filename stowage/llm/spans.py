@@ -181,8 +181,9 @@ def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
-    """Per block: spans settled inside it (h null), and the windows that must meet
-    those of other blocks."""
+    """Per block: spans settled inside it (sure; h2 is their end), and the windows
+    that must meet those of other blocks. One row form serves both, so that one pass
+    over the texts and one shuffle do."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bitmap.value
@@ -220,8 +221,9 @@ def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
             if len(s):
                 begin = np.flatnonzero(np.r_[True, (of[s][1:] != of[s][:-1]) | (pos[s][1:] > pos[s][:-1] + length)])
                 end = np.r_[begin[1:], len(s)] - 1
-                none = pa.nulls(len(begin), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[s[begin]]), pa.array(at_doc[s[begin]]), pa.array(at_doc[s[end]] + length)], names=["h1", "h2", "doc", "a", "b"])
+                # their key only spreads them: it meets none but itself
+                key = mix(doc[s[begin]].view(np.uint64) + mix(at_doc[s[begin]].view(np.uint64), 5), 9).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, at_doc[s[end]] + length, doc[s[begin]], at_doc[s[begin]])] + [pa.array(np.ones(len(begin), bool))], names=["h1", "h2", "doc", "a", "sure"])
             both = first != last
             o = np.flatnonzero(~settled)
             r1, r2 = h1[order[heads[both]]], h2[order[heads[both]]]
@@ -232,7 +234,7 @@ def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
                 np.concatenate([doc[o], first[both], last[both]]),
                 np.concatenate([at_doc[o], np.full(2 * both.sum(), -1)]),
             ]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cols[3] + length)], names=["h1", "h2", "doc", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.zeros(len(cols[0]), bool))], names=["h1", "h2", "doc", "a", "sure"])
 
     return run
 
@@ -252,11 +254,11 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_f
     for part in range(parts):
         mine = shared if parts == 1 else shared.mapInArrow(_of_part(part, parts), "h bigint")
         bitmap = spark.sparkContext.broadcast(_bitmap(mine, -(-count // parts)))
-        one = rows.mapInArrow(_emit_windows(bitmap, part, parts, length, chunk_chars), "h1 bigint, h2 bigint, doc bigint, a bigint, b bigint")
+        one = rows.mapInArrow(_emit_windows(bitmap, part, parts, length, chunk_chars), "h1 bigint, h2 bigint, doc bigint, a bigint, sure boolean")
         found = one if found is None else found.unionByName(one)
     w = W.partitionBy("h1", "h2")
-    met = found.where(F.col("h1").isNotNull()).withColumns({"low": F.min("doc").over(w), "high": F.max("doc").over(w)}).where("low <> high and a >= 0")
-    spans = met.select("doc", "a", "b").unionByName(found.where(F.col("h1").isNull()).select("doc", "a", "b"))
+    met = found.withColumns({"low": F.min("doc").over(w), "high": F.max("doc").over(w)}).where("sure or (low <> high and a >= 0)")
+    spans = met.select("doc", "a", F.when(F.col("sure"), F.col("h2")).otherwise(F.col("a") + length).alias("b"))
     return merge_spans(spans, "doc", "a", "b").select(F.col("doc").alias(key), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
