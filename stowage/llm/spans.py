@@ -16,8 +16,9 @@ texts. Two passes over the texts:
 Texts are never shuffled. The shared anchors reach the second pass as a
 broadcast Bloom bitmap of checked size; where they need more than
 ``MAX_FILTER_BYTES`` the pass runs once per part of the hash range. A text or
-passage that a third of all records hold is one row per block and window, not
-one per record, and no group lists its pairs.
+passage that a third of all records hold is two rows per block and window, not
+one per record; where one is told of by more than ``HOT_BLOCKS`` blocks, windows
+meet in salted groups first. No group lists its pairs.
 
 Defined results: null, empty and short texts share nothing; rows repeated under
 one id are one record; equal texts under two ids are shared whole; offsets are
@@ -45,6 +46,8 @@ MAX_FILTER_BYTES = 64 << 20
 BITS_PER_ANCHOR, PROBES = 16, 6
 #: Characters hashed at once, and per block within which rows are aggregated.
 CHUNK_CHARS = 2_000_000
+#: Blocks that may tell of one window before such windows meet in salted groups first.
+HOT_BLOCKS = 100_000
 _U = np.uint64
 
 
@@ -239,7 +242,7 @@ def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
     return run
 
 
-def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES, chunk_chars: int = CHUNK_CHARS, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(key, span_start, span_end): the maximal stretches of each record's text
     that lie in runs of ``length`` or more characters of another record."""
     if length < PERIOD + 16:
@@ -247,8 +250,10 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_f
     spark = df.sparkSession
     rows = df.where(F.char_length(text) >= length).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     anchors = rows.mapInArrow(_emit_anchors(length, chunk_chars), "h bigint, low bigint, high bigint")
-    shared = cut(anchors.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("h"))
-    count = shared.count()
+    merged = anchors.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).where("low <> high")
+    held = cut(merged.select("h", "n"))
+    count, most = held.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    shared = held.select("h")
     parts = max(1, -(-count * BITS_PER_ANCHOR // (8 * max_filter_bytes)))
     found = None
     for part in range(parts):
@@ -256,12 +261,34 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_f
         bitmap = spark.sparkContext.broadcast(_bitmap(mine, -(-count // parts)))
         one = rows.mapInArrow(_emit_windows(bitmap, part, parts, length, chunk_chars), "h1 bigint, h2 bigint, doc bigint, a bigint, sure boolean")
         found = one if found is None else found.unionByName(one)
+    salts = -(-most // hot_blocks)
+    if salts > 1:
+        found = _salted(found, salts, length)
     w = W.partitionBy("h1", "h2")
     met = found.withColumns({"low": F.min("doc").over(w), "high": F.max("doc").over(w)}).where("sure or (low <> high and a >= 0)")
     spans = met.select("doc", "a", F.when(F.col("sure"), F.col("h2")).otherwise(F.col("a") + length).alias("b"))
     return merge_spans(spans, "doc", "a", "b").select(F.col("doc").alias(key), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
+def _salted(found: DataFrame, salts: int, length: int) -> DataFrame:
+    """The same rows after a first meeting within salted groups: what is shared there
+    is sure, and a group tells the others no more than its two outer records."""
+    w = W.partitionBy("h1", "h2", "salt")
+    first = F.row_number().over(w.orderBy("doc")) == 1
+    met = found.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts))).withColumns({"low": F.min("doc").over(w), "high": F.max("doc").over(w), "first": first})
+    here = F.col("low") != F.col("high")
+    told = F.when(F.col("first") & ~F.col("sure"), F.when(here, F.array("low", "high")).when(F.col("a") < 0, F.array("low")))
+    row = lambda h2, doc, a, sure: F.struct(F.col("h1"), h2.alias("h2"), doc.alias("doc"), a.alias("a"), sure.alias("sure"))
+    own = (
+        F.when(F.col("sure"), row(F.col("h2"), F.col("doc"), F.col("a"), F.lit(True)))
+        .when((F.col("a") >= 0) & here, row(F.col("a") + length, F.col("doc"), F.col("a"), F.lit(True)))
+        .when(F.col("a") >= 0, row(F.col("h2"), F.col("doc"), F.col("a"), F.lit(False)))
+    )
+    others = F.transform(F.coalesce(told, F.array().cast("array<bigint>")), lambda d: row(F.col("h2"), d, F.lit(-1).cast("bigint"), F.lit(False)))
+    rows = F.filter(F.concat(F.array(own), others), lambda x: x.isNotNull())
+    return met.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def _of_part(part: int, parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,11 +62,11 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed, chunk, bound", [(1, 10**6, 64 << 20), (2, 3000, 64 << 20), (3, 900, 600)])
-def test_against_brute_force(spark, seed, chunk, bound):
+@pytest.mark.parametrize("seed, chunk, bound, hot", [(1, 10**6, 64 << 20, 10**5), (2, 3000, 64 << 20, 2), (3, 900, 600, 10**5), (5, 700, 64 << 20, 1)])
+def test_against_brute_force(spark, seed, chunk, bound, hot):
     docs = corpus(seed)
     df = spark.createDataFrame(docs + docs[:5], "doc_id long, text string").selectExpr("*", "1 as id", "2 as h1", "3 as span_start", "4 as t").repartition(3)
-    got = spans.shared_spans(df, "doc_id", "text", max_filter_bytes=bound, chunk_chars=chunk)
+    got = spans.shared_spans(df, "doc_id", "text", max_filter_bytes=bound, chunk_chars=chunk, hot_blocks=hot)
     assert {tuple(x) for x in got.collect()} == brute(docs, 300) and got.count() == len(brute(docs, 300))
 
 
