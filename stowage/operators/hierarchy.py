@@ -6,7 +6,7 @@ every node is tied directly to the roots it reaches, to the places where its
 paths leave the fragment (exits) and to the local cycles it reaches, with the
 longest distance and its path. Only nodes that other fragments link to (entries)
 form the quotient graph, whose links are the contracted chains. It is solved by
-the same operator over fragments ``FAN`` times as wide, until one is left; then
+the same operator over fewer fragments of the same size, until one is left; then
 each level's results are expanded: a node's rows are its local roots and, for
 every exit, its distance plus the exit's solution. A cycle across fragments is a
 strongly connected component of the quotient; the nodes of a fragment on it are
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-FRAGMENT_NODES, FAN = 20_000, 8
+FRAGMENT_NODES = 20_000
 
 _ROWS = "f int, src string, kind string, dst string, g int, dist bigint, low string, path array<string>"
 
@@ -269,21 +269,24 @@ def _padded(df: DataFrame, kind: str, low: str | None = None) -> DataFrame:
     )
 
 
-def _contract(rows: DataFrame) -> DataFrame:
-    return rows.unionByName(_entries(rows)).groupBy("f").applyInPandas(lambda x: _Local(x).rows(False), _ROWS)
+def _contract(rows: DataFrame, fragments: int, fragment_nodes: int) -> tuple[DataFrame, int]:
+    """The quotient's rows and its number of fragments: as many as its nodes fill,
+    and at most half as many as before."""
+    small = cut(rows.unionByName(_entries(rows)).groupBy("f").applyInPandas(lambda x: _Local(x).rows(False), _ROWS))
+    filled = -(-small.select("src").distinct().count() // fragment_nodes)
+    fan = -(-fragments // max(1, min(filled, fragments // 2)))
+    wider = {c: F.expr(f"{c} div {fan}").cast("int") for c in ("f", "g")}
+    return small.withColumns(wider), -(-fragments // fan)
 
 
-def _solve(rows: DataFrame, fragments: int) -> DataFrame:
+def _solve(rows: DataFrame, fragments: int, fragment_nodes: int) -> DataFrame:
     """(src, kind, dst, dist, low, scc, path): kind ``root`` per root reached, or
     one ``cyc`` row with the least name on a reachable cycle (low) and the label of
     the node's own cycle (scc, null off the cycles)."""
-    rows = cut(rows)
     if fragments <= 1:
-        local = rows.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True), _ROWS)
+        local = cut(rows.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True), _ROWS))
         return _settle(local.where("kind in ('root', 'cyc', 'on')").select("src", "kind", "dst", "dist", "low", "path"))
-    wider = -(-fragments // FAN)
-    quotient = _contract(rows).withColumns({"f": F.expr(f"f div {FAN}").cast("int"), "g": F.expr(f"g div {FAN}").cast("int")})
-    solved = cut(_solve(quotient, wider))
+    solved = cut(_solve(*_contract(rows, fragments, fragment_nodes), fragment_nodes))
     labels = solved.where("kind = 'cyc' and scc is not null").select(F.col("src").alias("name"), F.col("scc").alias("label"))
     cross = rows.where("kind = 'link' and f <> g")
     exits = cross.select("f", F.col("dst").alias("name")).distinct().join(labels, "name").select("f", F.col("name").alias("src"), "label")
@@ -334,7 +337,7 @@ def _fragments(nodes: DataFrame, links: DataFrame, fragment_nodes: int) -> tuple
         F.col("src").alias("low"),
         F.when(linked, F.array("dst")).otherwise(F.array().cast("array<string>")).alias("path"),
     )
-    return rows, fragments
+    return cut(rows), fragments
 
 
 def _place(nodes: DataFrame, fragments: int) -> tuple[DataFrame, int]:
@@ -355,7 +358,7 @@ def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGME
     such a cycle, depth -1 on a cycle and -2 otherwise, no path; nodes of one cycle
     (strongly connected component) share a value of ``cycle``.
     """
-    solved = _solve(*_fragments(nodes, links, fragment_nodes))
+    solved = _solve(*_fragments(nodes, links, fragment_nodes), fragment_nodes)
     cyc = F.col("kind") == "cyc"
     return solved.select(
         F.col("src").alias("node"),
@@ -366,14 +369,12 @@ def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGME
     )
 
 
-def _reach(rows: DataFrame, fragments: int) -> DataFrame:
-    rows = cut(rows)
+def _reach(rows: DataFrame, fragments: int, fragment_nodes: int) -> DataFrame:
     shape = "f int, src string, kind string, dst string"
     local = rows.groupBy("f").applyInPandas(lambda x: _Local(x).reach(True), shape)
     if fragments <= 1:
         return local.select("src", "dst").distinct()
-    quotient = _contract(rows).withColumns({"f": F.expr(f"f div {FAN}").cast("int"), "g": F.expr(f"g div {FAN}").cast("int")})
-    beyond = cut(_reach(quotient, -(-fragments // FAN)))
+    beyond = cut(_reach(*_contract(rows, fragments, fragment_nodes), fragment_nodes))
     local = cut(local)
     inner = local.where("kind = 'in'").select("src", "dst")
     exits = local.where("kind = 'link'").select("src", F.col("dst").alias("x"))
@@ -386,7 +387,7 @@ def _reach(rows: DataFrame, fragments: int) -> DataFrame:
 def reachability(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
     """(src, dst): every node with every node it reaches over one or more links,
     by the same contraction; a node reaches itself only on a cycle."""
-    return _reach(*_fragments(nodes, links, fragment_nodes))
+    return _reach(*_fragments(nodes, links, fragment_nodes), fragment_nodes)
 
 
 def descendants(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
