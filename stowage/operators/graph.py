@@ -3,8 +3,7 @@ edges (src, dst), where src depends on dst.
 
 Recursive results come from the contraction operator in :mod:`hierarchy`, which
 takes a number of jobs that grows with the logarithm of the graph, not with its
-depth. Only closures of a few start nodes walk their frontier, with one join per
-step. Repeated edges change no level or closure but count in fingerprints.
+depth. Repeated edges change no level or closure but count in fingerprints.
 """
 
 from __future__ import annotations
@@ -93,16 +92,10 @@ def plan_statistics(plan: DataFrame) -> DataFrame:
 
 
 def closure_of(starts: DataFrame, links: DataFrame) -> DataFrame:
-    """(fqn) reached from ``starts`` over one or more links, frontier by frontier."""
-    links = links.select("src", "dst").distinct()
-    frontier = cut(starts.select("fqn").distinct())
-    seen = None
-    while True:
-        step = frontier.select(F.col("fqn").alias("src")).join(links, "src").select(F.col("dst").alias("fqn")).distinct()
-        frontier = cut(step if seen is None else step.join(seen, "fqn", "left_anti"))
-        if frontier.isEmpty():
-            return frontier if seen is None else seen
-        seen = frontier if seen is None else cut(seen.unionByName(frontier))
+    """(fqn) reached from ``starts`` over one or more links."""
+    ends = links.select(F.col("src").alias("fqn")).unionByName(links.select(F.col("dst").alias("fqn"))).distinct()
+    found = hierarchy.reached(_placed(ends), links, starts.select(F.col("fqn").alias("name")))
+    return found.select(F.col("name").alias("fqn"))
 
 
 def transitive_dependencies(start: str, links: DataFrame) -> DataFrame:

@@ -393,3 +393,49 @@ def reachability(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGM
 def descendants(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
     """(node, descendant): links run from child to parent."""
     return reachability(nodes, links, fragment_nodes).select(F.col("dst").alias("node"), F.col("src").alias("descendant"))
+
+
+def _flood(rows: pd.DataFrame) -> pd.DataFrame:
+    """What a fragment's starts reach over its links: nodes (``in``) and exits."""
+    links: dict[str, list[str]] = {}
+    outer: dict[str, list[str]] = {}
+    seeds: set[str] = set()
+    for f, src, kind, dst, g in zip(*(rows[c].tolist() for c in ("f", "src", "kind", "dst", "g"))):
+        if kind == "start":
+            seeds.add(src)
+        elif kind == "link":
+            (links if g == f else outer).setdefault(src, []).append(dst)
+    reached, exits, todo = set(), set(), list(seeds)
+    while todo:
+        v = todo.pop()
+        exits.update(outer.get(v, ()))
+        for c in links.get(v, ()):
+            if c not in reached:
+                reached.add(c)
+                if c not in seeds:
+                    todo.append(c)
+    return pd.DataFrame([(x, "in") for x in reached] + [(x, "link") for x in exits], columns=["src", "kind"])
+
+
+def _flooded(rows: DataFrame, fragments: int, fragment_nodes: int, starts: DataFrame) -> DataFrame:
+    def run(more: DataFrame) -> DataFrame:
+        told = rows.unionByName(_padded(more, "start"))
+        return cut(told.groupBy("f").applyInPandas(_flood, "src string, kind string"))
+
+    near = run(starts)
+    if fragments <= 1:
+        return near.where("kind = 'in'").select("src").distinct()
+    exits = near.where("kind = 'link'").select("src").distinct()
+    quotient, wider = _contract(rows, fragments, fragment_nodes)
+    beyond = _flooded(quotient, wider, fragment_nodes, exits.join(quotient.select("f", "src").distinct(), "src").select("f", "src"))
+    doors = cut(exits.unionByName(beyond).distinct())
+    inside = run(starts.unionByName(doors.join(rows.select("f", "src").distinct(), "src").select("f", "src")))
+    return doors.unionByName(inside.where("kind = 'in'").select("src")).distinct()
+
+
+def reached(nodes: DataFrame, links: DataFrame, starts: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+    """(name) of all nodes reached from ``starts`` (name) over one or more links. The
+    result and all between grow with the nodes, not with pairs of them."""
+    rows, fragments = _fragments(nodes, links, fragment_nodes)
+    placed = rows.select("f", "src").distinct().join(starts.select(F.col("name").alias("src")).distinct(), "src", "left_semi").select("f", "src")
+    return _flooded(rows, fragments, fragment_nodes, placed).select(F.col("src").alias("name"))

@@ -188,6 +188,23 @@ def manifest_lookup(keys: DataFrame, local: DataFrame, remote: DataFrame) -> Dat
     return joined.withColumns({"manifest": F.coalesce("_a", "_b"), "backfill": F.col("_a").isNull() & F.col("_b").isNotNull()}).drop("_a", "_b")
 
 
+def delete_manifests(manifests: DataFrame, keys: DataFrame) -> DataFrame:
+    """Without the given action keys; absent ones are no error."""
+    return manifests.join(keys.select("action_key"), "action_key", "left_anti")
+
+
+def manifests_exist(keys: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Each key with ``present``."""
+    there = manifests.select("action_key").distinct().withColumn("_there", F.lit(True))
+    return keys.join(there, "action_key", "left").withColumn("present", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def verified(outputs: DataFrame, files: DataFrame) -> DataFrame:
+    """Outputs (path, digest) with ``ok``: whether the file's content has the digest."""
+    have = files.groupBy("path").agg(F.max("digest").alias("_have"))
+    return outputs.join(have, "path", "left").withColumn("ok", F.coalesce(F.col("_have") == F.col("digest"), F.lit(False))).drop("_have")
+
+
 def cache_results(actions: DataFrame, outputs: DataFrame, store: DataFrame, files: DataFrame) -> DataFrame:
     """(action_key, result): ``hit`` if every output that must be restored (file
     absent or of another size) is in the store, ``miss`` if one is not or the action

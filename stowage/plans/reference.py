@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blake3, chunking, codec, digests, render, signing, versions
-from ..operators import graph, overlay, selection, store
-from ..session import table
+from ..operators import graph, overlay, planning, selection, store
+from ..session import cut, table
 from . import problems
 from .problems_sql import VIEWS, trim
 
@@ -150,6 +150,43 @@ def plan_for_targets(spark, sf):
     return graph.levels(n.join(wanted, "fqn", "left_semi"), graph.subgraph(e, wanted))
 
 
+@query(
+    LEVELS
+    + """, picked as (select fqn from nodes where regexp_matches(recipe, '^(lint|format)') and list_has_any(list_transform(tags, lambda x: lower(x)), ['infra', 'fast']) and fqn in (select fqn from good)),
+wanted as (select fqn from picked union select r.dst from reach r join picked p on r.src = p.fqn)
+select cast(p.level as bigint) as level, p.fqn from plan p join wanted w on p.fqn = w.fqn"""
+)
+def plan_selection(spark, sf):
+    """A pattern and tags, over the nodes that reach no cycle and have a command."""
+    n, e = edges(spark, sf)
+    good = cut(n.join(graph.levels(n, e), "fqn", "left_semi").withColumn("run", F.when(F.trim(F.coalesce("run", F.lit(""))) == "", F.lit("true")).otherwise(F.col("run"))))
+    return planning.plan_selection(good, ":^(lint|format)", True, ["Infra", "fast"])
+
+
+@query(V + "select fqn, unnest(list_filter(list_transform(string_split(run, chr(10)), lambda x: trim(x)), lambda x: x <> '')) as line from nodes")
+def command_lines(spark, sf):
+    return nodes(spark, sf).select("fqn", F.explode(planning.text_lines("run")).alias("line"))
+
+
+@query("select action_key, count(*) filter (exit_code = 0) > 0 as present from executions where action_key is not null group by action_key")
+def manifests_exist(spark, sf):
+    e = table(spark, sf, "executions").where("action_key is not null")
+    return store.manifests_exist(e.select("action_key").distinct(), store.succeeded(e))
+
+
+@query("select distinct action_key from executions where action_key is not null and action_key not in (select action_key from executions where exit_code <> 0 and action_key is not null)")
+def manifests_kept(spark, sf):
+    """Without the results of actions that ever failed."""
+    e = table(spark, sf, "executions").where("action_key is not null")
+    return store.delete_manifests(e, e.where("exit_code <> 0")).select("action_key").distinct()
+
+
+@query(V + ", t as (select path, max(digest) as have from outs where is_executable group by path) select output_id, coalesce(t.have = o.digest, false) as ok from outs o left join t on o.path = t.path")
+def verify_contents(spark, sf):
+    o = outputs(spark, sf)
+    return store.verified(o, o.where("is_executable")).select("output_id", "ok")
+
+
 @query(V + "select e.src, e.dst from edges e where e.src in (select fqn from nodes where list_contains(tags, 'backend')) and e.dst in (select fqn from nodes where list_contains(tags, 'backend'))")
 def tag_subgraph(spark, sf):
     n, e = edges(spark, sf)

@@ -62,6 +62,9 @@ def test_random_graphs_with_cycles(spark, seed, size, width):
             assert way[-1] == x.root and len(x.path) == x.depth
             assert all((a, b) in links for a, b in zip(way, way[1:]))
     assert {tuple(x) for x in hierarchy.reachability(n, e, fragment_nodes=width).collect()} == closure
+    starts = spark.createDataFrame([(nodes[-1],), (nodes[size // 2],), ("nowhere",), (nodes[-1],)], "name string")
+    want = {b for a, b in closure if a in (nodes[-1], nodes[size // 2])}
+    assert {x.name for x in hierarchy.reached(n, e, starts, fragment_nodes=width).collect()} == want
 
 
 def test_cycle_across_fragments_is_one_component(spark):

@@ -304,3 +304,32 @@ def test_render_column_and_sql_function(spark):
     assert [r[0] for r in df.select(render.render_column("t", "c")).collect()] == ["hi 3", None, "x"]
     render.register(spark, render.Function("shout", lambda s: s.upper() + "!", {"s": {"type": "string"}}))
     assert spark.sql("select shout('a')").first()[0] == "A!"
+
+
+# -- planning --------------------------------------------------------------------------------
+
+
+def test_plan_selection_and_templates(spark):
+    from stowage.operators import planning
+
+    shape = "fqn string, cookbook string, recipe string, description string, dependencies array<string>, cache struct<inputs:array<string>,outputs:array<string>>, run string, environment array<string>, variables map<string,string>, tags array<string>, template string"
+    make = lambda fqn, deps, run, template=None, tags=(): (fqn, *fqn.split(":"), None, deps, None, run, ["E"], {"a": "1"}, list(tags), template)
+    nodes = spark.createDataFrame([make("a:x", ["y"], "go", tags=["T"]), make("a:y", [], None, " lib "), make("a:z", None, "z"), make("b:bad", [], " ")], shape)
+    t = spark.createDataFrame([("lib", "d", ["a:z"], None, "from template", ["F"], {"a": "0", "b": "2"}, ["new"])], "name string, description string, dependencies array<string>, cache struct<inputs:array<string>,outputs:array<string>>, run string, environment array<string>, variables map<string,string>, tags array<string>")
+    y = planning.resolve_templates(nodes, t).where("fqn = 'a:y'").first()
+    assert (y.run, y.environment, y.variables, y.tags, y.dependencies) == ("from template", ["F", "E"], {"a": "1", "b": "2"}, ["new"], ["a:z"])
+    assert rows(planning.plan_selection(nodes, "a:x", templates=t), "level", "fqn") == [(0, "a:z"), (1, "a:y"), (2, "a:x")]
+    assert rows(planning.plan_selection(nodes, tags=["t"], templates=t), "fqn") == [("a:x",), ("a:y",), ("a:z",)]
+    assert planning.plan_selection(nodes, "no:pe", templates=t).count() == 0
+    for pattern, templates in (("b:", t), ("a:y", None)):
+        with pytest.raises(planning.InvalidRecipe):
+            planning.plan_selection(nodes, pattern, templates=templates)
+    with pytest.raises(planning.InvalidRecipe, match="lib"):
+        planning.resolve_templates(nodes, t.limit(0))
+    some_ = spark.createDataFrame([("a:z",)], "fqn string")
+    assert planning.included(nodes, some_).count() == 1 and planning.included(nodes, some_.limit(0)).count() == 4
+    df = spark.createDataFrame([(8, 4, 1), (8, 4, 9), (2, 4, 0)], "w int, c int, r int")
+    assert [r[0] for r in df.select(planning.parallelism("w", "c", "r")).collect()] == [3, 1, 2]
+    assert spark.createDataFrame([(" a \n\n b",)], "t string").select(planning.text_lines("t")).first()[0] == ["a", "b"]
+    files = spark.createDataFrame([("p", "d1")], "path string, digest string")
+    assert rows(store.verified(spark.createDataFrame([("p", "d1"), ("q", "d2")], "path string, digest string"), files), "path", "ok") == [("p", True), ("q", False)]
