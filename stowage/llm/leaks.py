@@ -11,7 +11,8 @@ with equal words, at most one in six of them changed, missing or added.
 
 Words are runs of letters, digits and marks (a Han or Kana character alone is
 a word), compared after compatibility composition and case folding; apostrophes,
-soft hyphens and joiners inside a word do not count; tags and entities are blanked.
+soft hyphens and joiners inside a word do not count; tags, entities, numbered notes
+and link targets are blanked.
 
 Scale: texts are read once and never shuffled; only the items are broadcast,
 in blocks of at most ``ITEM_BLOCK_CHARS``, one pass over the texts per block.
@@ -37,7 +38,7 @@ from .spans import merge_spans
 RUN, PHRASE, ALLOWANCE = 12, 4, 6
 CHUNK_CHARS, ITEM_BLOCK_CHARS = 3_000_000, 4_000_000
 
-_MARKUP = r"</?[A-Za-z!][^<>]{0,200}>|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
+_MARKUP = r"</?[A-Za-z!][^<>]{0,200}>|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|\[\d{1,4}\]|(?<=\])\([^()\s]{1,300}\)"
 _INNER = "'\u2019\u02bc\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _WORD = rf"[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]|[\p{{L}}\p{{N}}][[\p{{L}}\p{{N}}\p{{M}}{_INNER}]--[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]]*"
 _DROP = {ord(c): None for c in _INNER}
@@ -57,7 +58,7 @@ class Words:
         self._markup, self._word = regex.compile(_MARKUP), regex.compile(_WORD, regex.V1)
 
     def blanked(self, text: str) -> str:
-        if "<" in text or "&" in text:
+        if "<" in text or "&" in text or "]" in text:
             text = self._markup.sub(lambda m: " " * len(m.group()), text)
         return text
 
