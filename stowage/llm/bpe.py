@@ -8,7 +8,8 @@ its lowest-ranked pair, and finished words leave the array. Encoded words are
 kept in a bounded store per worker; a document is then one gather.
 
 Defined results: null and empty texts give an empty list; strings that look
-like special tokens are ordinary text; a text of any length is encoded whole;
+like special tokens are ordinary text; a text of any length is encoded whole (in
+pieces that join exactly, where it is long);
 repeated rows are encoded each; an empty input gives an empty result.
 """
 
@@ -158,9 +159,28 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A long text in pieces whose encodings join to that of the whole: no word of
+    the pattern holds a space after another character, so cuts go before one that
+    follows a character which is no white space."""
+    a = 0
+    while len(text) - a > size:
+        b = text.find(" ", a + size)
+        while b > 0 and text[b - 1].isspace():
+            b = text.find(" ", b + 1)
+        if b < 0:
+            break
+        yield text[a:b]
+        a = b
+    yield text[a:]
+
+
 def _chunks(texts: list[str | None], chunk_chars: int) -> Iterator[tuple[int, int]]:
     a, chars = 0, 0
     for i, t in enumerate(texts):
+        if len(t or "") > chunk_chars and a < i:  # a long text stands alone
+            yield a, i
+            a, chars = i, 0
         chars += len(t or "")
         if chars >= chunk_chars:
             yield a, i + 1
@@ -180,7 +200,11 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None, c
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _chunks(texts, chunk_chars):
-                bounds, ids = e.encode(texts[a:b])
+                if b - a == 1 and len(texts[a] or "") > chunk_chars:
+                    ids = np.concatenate([e.encode([x])[1] for x in pieces(texts[a], chunk_chars)])
+                    bounds = np.array([0, len(ids)])
+                else:
+                    bounds, ids = e.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[key, "ids"])
 

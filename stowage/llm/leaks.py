@@ -25,7 +25,7 @@ side gives an empty result.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ from .spans import merge_spans
 
 RUN, PHRASE, ALLOWANCE = 12, 4, 6
 CHUNK_CHARS, ITEM_BLOCK_CHARS = 3_000_000, 4_000_000
+#: From here on words are not listed; words per index.
+LONG_CHARS, INDEX_WORDS = 20_000_000, 1_000_000
 
 _MARKUP = r"</?[A-Za-z!][^<>]{0,200}>|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|\[\d{1,4}\]|(?<=\])\([^()\s]{1,300}\)"
 _INNER = "'\u2019\u02bc\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -65,8 +67,15 @@ class Words:
     def cut(self, text: str) -> list[str]:
         return self._word.findall(self.blanked(text))
 
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        return [m.span() for m in self._word.finditer(self.blanked(text))]
+    def numbers(self, text: str, known: Callable[[str], int]) -> np.ndarray:
+        """Each word's number; long texts never hold all their words as strings."""
+        text = self.blanked(text)
+        words = self._word.findall(text) if len(text) < LONG_CHARS else (m.group() for m in self._word.finditer(text))
+        return np.fromiter(map(known, words), np.int32)
+
+    def offsets(self, text: str, wanted: set[int]) -> dict[int, tuple[int, int]]:
+        """Where the wanted words (by number) stand."""
+        return {n: m.span() for n, m in enumerate(self._word.finditer(self.blanked(text))) if n in wanted}
 
 
 class Items:
@@ -136,23 +145,49 @@ def _verify(item: np.ndarray, text: np.ndarray, k: np.ndarray, j: np.ndarray) ->
     return out
 
 
-def _shard(texts: list[str], items: Items, cut: Words, seen: dict[str, int]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """(text number, item number, word ranges) of all leaks in a block of texts."""
-    symbol, of, at = [], [], []
-    docs = []
+def _stretches(s: np.ndarray, words: int, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(begin, words) of a text; a long one in stretches, of which one holds any run."""
+    step = max(1, words - overlap)
+    for a in range(0, max(1, len(s) - overlap), step):
+        yield a, s[a : a + words]
+
+
+def _shard(texts: list[str], items: Items, cut: Words, seen: dict[str, int], index_words: int = INDEX_WORDS) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(text number, item number, word ranges) of all leaks in a block of texts, by
+    one index per ``index_words`` words."""
+
+    def known(word: str) -> int:
+        n = seen.get(word)
+        if n is None:
+            n = seen[word] = items.vocabulary.get(plain(word), 1)
+        return n
+
+    longest = max(map(len, items.words), default=0)
+    overlap = longest + 2 * (longest // ALLOWANCE + 1)
+    held: list[tuple[int, int, np.ndarray]] = []
+    count = 0
     for n, t in enumerate(texts):
-        w = cut.cut(t)
-        for x in w:
-            if x not in seen:
-                seen[x] = items.vocabulary.get(plain(x), 1)
-        s = np.fromiter(map(seen.__getitem__, w), np.int64, len(w))
-        docs.append(s)
-        # runs of other words shrink to one symbol; each text ends with one
+        for a, s in _stretches(cut.numbers(t, known), max(index_words, 2 * overlap + 2), overlap):
+            held.append((n, a, s))
+            count += len(s)
+            if count >= index_words:
+                yield from _search(held, items)
+                held, count = [], 0
+    yield from _search(held, items)
+
+
+def _search(held: list[tuple[int, int, np.ndarray]], items: Items) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """All leaks in stretches (text number, begin, word numbers), by one index."""
+    symbol, of, at = [], [], []
+    for n, (_, _, s) in enumerate(held):
+        # runs of other words shrink to one symbol; each stretch ends with one
         keep = np.flatnonzero((s != 1) | np.r_[True, s[:-1] != 1][: len(s)])
         symbol += [s[keep], np.ones(1, np.int64)]
-        at += [keep, np.full(1, len(w))]
+        at += [keep, np.full(1, len(s))]
         of.append(np.full(len(keep) + 1, n))
-    s = np.concatenate([*symbol, np.zeros(1, np.int64)])
+    s = np.concatenate([*symbol, np.zeros(1)]).astype(np.int64)
+    if len(s) == 1:
+        return
     of, at = np.concatenate(of), np.concatenate(at)
     index = FMIndex(s, len(items.vocabulary) + 2)
     low, high = index.search(items.phrases)
@@ -168,26 +203,29 @@ def _shard(texts: list[str], items: Items, cut: Words, seen: dict[str, int]) ->
     times = uses[which]
     hit = np.repeat(np.arange(len(which)), times)
     entry = flat[np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + base[which][hit]]
-    text, j = of[place][hit], at[place][hit]
-    order = np.lexsort((entry[:, 0], text))
-    text, j, item, k = text[order], j[order], entry[order, 0], entry[order, 1]
-    cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(text)]):
-        found = _verify(items.words[item[a]], docs[text[a]], k[a:b], j[a:b])
+    stretch, j = of[place][hit], at[place][hit]
+    order = np.lexsort((entry[:, 0], stretch))
+    stretch, j, item, k = stretch[order], j[order], entry[order, 0], entry[order, 1]
+    cuts = np.flatnonzero((np.diff(stretch) != 0) | (np.diff(item) != 0)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(stretch)]):
+        n, begin, words = held[stretch[a]]
+        found = _verify(items.words[item[a]], words, k[a:b], j[a:b])
         if found:
-            yield int(text[a]), int(item[a]), found
+            yield n, int(item[a]), [(begin + x, begin + y) for x, y in found]
 
 
-def _find(held, chunk_chars: int):
+def _find(held, chunk_chars: int, index_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, cut, seen = held.value, Words(), {}
 
         def block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-            rows, spans = [], {}
-            for n, i, found in _shard(texts, items, cut, seen):
-                if n not in spans:
-                    spans = {n: cut.offsets(texts[n])}
-                rows += [(ids[n], items.ids[i], spans[n][a][0], spans[n][b - 1][1]) for a, b in found]
+            leaks_of: dict[int, list[tuple[int, int, int]]] = {}
+            for n, i, found in _shard(texts, items, cut, seen, index_words):
+                leaks_of.setdefault(n, []).extend((i, a, b) for a, b in found)
+            rows = []
+            for n, found in leaks_of.items():
+                place = cut.offsets(texts[n], {w for _, a, b in found for w in (a, b - 1)})
+                rows += [(ids[n], items.ids[i], place[a][0], place[b - 1][1]) for i, a, b in found]
             if len(seen) > 1_000_000:
                 seen.clear()
             cols = list(zip(*rows)) if rows else [[]] * 4
@@ -208,7 +246,7 @@ def _find(held, chunk_chars: int):
     return run
 
 
-def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc, item, a, b): where each item leaks into each text, in code points."""
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & (F.char_length(text) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
@@ -219,18 +257,18 @@ def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     for n in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)
         held = spark.sparkContext.broadcast(Items([(r.i, r.t) for r in part.orderBy("i").collect()]))
-        one = rows.mapInArrow(_find(held, chunk_chars), "doc bigint, item bigint, a bigint, b bigint")
+        one = rows.mapInArrow(_find(held, chunk_chars, index_words), "doc bigint, item bigint, a bigint, b bigint")
         out = one if out is None else out.unionByName(one)
     return spark.createDataFrame([], "doc bigint, item bigint, a bigint, b bigint") if out is None else out
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS, index_words: int = INDEX_WORDS) -> DataFrame:
     """One row per document and item that leaked into it."""
-    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars)
+    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars, index_words)
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key)).dropDuplicates()
 
 
-def removal_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def removal_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS, index_words: int = INDEX_WORDS) -> DataFrame:
     """(key, span_start, span_end): the leaked passages of each text, merged."""
-    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars).select("doc", "a", "b")
+    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars, index_words).select("doc", "a", "b")
     return merge_spans(found, "doc", "a", "b").select(F.col("doc").alias(key), F.col("a").alias("span_start"), F.col("b").alias("span_end"))

@@ -75,26 +75,34 @@ def window_hashes(codes: np.ndarray, length: int, seed: int) -> np.ndarray:
         power, size = _join(power[:-size], power[size:]), size * 2
 
 
-def _texts(batches: Iterable[pa.RecordBatch], least: int, chunk_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of whole texts of at least ``least`` code points: ids, code points
-    of all texts, offsets (len + 1)."""
-    ids, parts, sizes, chars = [], [], [], 0
+def _texts(batches: Iterable[pa.RecordBatch], least: int, chunk_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of texts of at least ``least`` code points: ids, code points of all
+    texts, offsets (len + 1), and where in its text each begins. A text longer than
+    a block comes in stretches that overlap by less than one window, so every window
+    lies in one of them."""
+    ids, parts, sizes, begins, chars = [], [], [], [], 0
+    size = max(chunk_chars, 2 * least)
 
     def block():
         codes = np.frombuffer(b"".join(parts), "<u4")
-        return np.array(ids, np.int64), codes, np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        return np.array(ids, np.int64), codes, np.r_[0, np.cumsum(sizes)].astype(np.int64), np.array(begins, np.int64)
 
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if i is None or t is None or len(t) < least:
                 continue
-            ids.append(i)
-            parts.append(t.encode("utf-32-le", "surrogatepass"))
-            sizes.append(len(t))
-            chars += len(t)
-            if chars >= chunk_chars:
-                yield block()
-                ids, parts, sizes, chars = [], [], [], 0
+            for a in range(0, max(1, len(t) - least + 1), size - least + 1):
+                x = t if len(t) <= size else t[a : a + size]
+                ids.append(i)
+                parts.append(x.encode("utf-32-le", "surrogatepass"))
+                sizes.append(len(x))
+                begins.append(a)
+                chars += len(x)
+                if chars >= chunk_chars:
+                    yield block()
+                    ids, parts, sizes, begins, chars = [], [], [], [], 0
+                if len(t) <= size:
+                    break
     if ids:
         yield block()
 
@@ -131,7 +139,7 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 def _emit_anchors(length: int, chunk_chars: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, codes, offsets in _texts(batches, length, chunk_chars):
+        for ids, codes, offsets, _ in _texts(batches, length, chunk_chars):
             text, _, h = _anchors(offsets, codes, length)
             order = np.argsort(h, kind="stable")
             heads = _groups(order, h)
@@ -190,7 +198,7 @@ def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bitmap.value
-        for ids, codes, offsets in _texts(batches, length, chunk_chars):
+        for ids, codes, offsets, begins in _texts(batches, length, chunk_chars):
             text, at, h = _anchors(offsets, codes, length)
             mine = _holds(held, h)
             if parts > 1:
@@ -218,7 +226,7 @@ def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
             first, last = np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
             settled = np.empty(len(pos), bool)
             settled[order] = np.repeat(first != last, lens)
-            at_doc = pos - offsets[of]
+            at_doc = pos - offsets[of] + begins[of]
             # spans of settled windows: runs of touching windows of one text
             s = np.flatnonzero(settled)
             if len(s):

@@ -50,6 +50,16 @@ def test_store_is_bounded_and_forgets_nothing(library, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library(texts)
 
 
+@pytest.mark.parametrize("size", [1, 3, 10, 50])
+def test_pieces_join_to_the_whole(library, size):
+    r = random.Random(size)
+    for _ in range(150):
+        text = "".join(r.choice("ab 1'\ts\n.é  ​\u3000") for _ in range(r.randint(0, 120)))
+        cut = list(bpe.pieces(text, size))
+        assert "".join(cut) == text
+        assert sum(own(cut), []) == library([text])[0]
+
+
 def test_column(spark, library):
     data = [(1, "some text here"), (2, None), (3, ""), (1, "some text here"), (None, "long " * 500)]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'x' as _text", "1 as ids")

@@ -120,6 +120,19 @@ def test_blocks_of_items_and_texts_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ITEM_BLOCK_CHARS", 10_000)
     d, i = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "eval_items"))
     assert rows(leaks.leaks(d, "doc_id", "text", i, "item_id", "text", chunk_chars=5_000)) == want
+    assert rows(leaks.leaks(d, "doc_id", "text", i, "item_id", "text", index_words=150)) == want
+    monkeypatch.setattr(leaks, "ITEM_BLOCK_CHARS", 10**7)
+    spans = rows(leaks.removal_spans(d, "doc_id", "text", i, "item_id", "text"))
+    assert rows(leaks.removal_spans(d, "doc_id", "text", i, "item_id", "text", index_words=150)) == spans
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    monkeypatch.setattr(leaks, "LONG_CHARS", 100)
+    items = leaks.Items([(1, ITEM)])
+    text = "x " * 500 + ITEM + " y" * 300 + " " + ITEM
+    found = {(a, b) for _, _, r in leaks._shard([text], items, leaks.Words(), {}, 40) for a, b in r}
+    n = len(ITEM.split())
+    assert {(500, 500 + n), (800 + n, 800 + 2 * n)} <= found
 
 
 @pytest.mark.parametrize("seed", [1, 2])
