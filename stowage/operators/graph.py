@@ -69,7 +69,7 @@ def _placed(nodes: DataFrame) -> DataFrame:
 
 def cycles(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(cycle, fqn): strongly connected components of several nodes or a self-link."""
-    return hierarchy.hierarchies(_placed(nodes), links).where("depth = -1").select("cycle", F.col("node").alias("fqn"))
+    return hierarchy.hierarchies(_placed(nodes), links, paths=False).where("depth = -1").select("cycle", F.col("node").alias("fqn"))
 
 
 def levels(nodes: DataFrame, links: DataFrame, strict: bool = False) -> DataFrame:
@@ -77,7 +77,7 @@ def levels(nodes: DataFrame, links: DataFrame, strict: bool = False) -> DataFram
 
     Nodes that reach a cycle have no level; ``strict`` raises on them instead.
     """
-    solved = hierarchy.hierarchies(_placed(nodes), links)
+    solved = hierarchy.hierarchies(_placed(nodes), links, paths=False)
     if strict:
         bad = [r.node for r in solved.where("depth = -1").orderBy("node").limit(20).collect()]
         if bad:

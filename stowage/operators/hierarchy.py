@@ -236,7 +236,7 @@ class _Local:
                     ring[v] = label
         return ring
 
-    def rows(self, everything: bool) -> pd.DataFrame:
+    def rows(self, everything: bool, paths: bool) -> pd.DataFrame:
         out: list[tuple] = []
         f = self.fragment
         ring = self._marked() if everything else {}
@@ -248,9 +248,9 @@ class _Local:
             if v in self.bad:
                 out.append((f, v, "cyc", None, None, None, self.bad[v], None))
             for r, way in self.roots[v].items():
-                out.append((f, v, "root", r, None, way[0], None, self._path(v, r, self.roots)))
+                out.append((f, v, "root", r, None, way[0], None, self._path(v, r, self.roots) if paths else None))
             for x, way in self.exits[v].items():
-                path = [x] if v in self.bad else self._path(v, x, self.exits)
+                path = None if not paths else [x] if v in self.bad else self._path(v, x, self.exits)
                 out.append((f, v, "link", x, self.frag_of[x], way[0], way[3], path))
         table = pd.DataFrame(out, columns=["f", "src", "kind", "dst", "g", "dist", "low", "path"])
         return table.astype({"g": "Int32", "dist": "Int64"})
@@ -269,30 +269,30 @@ def _padded(df: DataFrame, kind: str, low: str | None = None) -> DataFrame:
     )
 
 
-def _contract(rows: DataFrame, fragments: int, fragment_nodes: int) -> tuple[DataFrame, int]:
+def _contract(rows: DataFrame, fragments: int, fragment_nodes: int, paths: bool) -> tuple[DataFrame, int]:
     """The quotient's rows and its number of fragments: as many as its nodes fill,
     and at most half as many as before."""
-    small = cut(rows.unionByName(_entries(rows)).groupBy("f").applyInPandas(lambda x: _Local(x).rows(False), _ROWS))
+    small = cut(rows.unionByName(_entries(rows)).groupBy("f").applyInPandas(lambda x: _Local(x).rows(False, paths), _ROWS))
     filled = -(-small.select("src").distinct().count() // fragment_nodes)
     fan = -(-fragments // max(1, min(filled, fragments // 2)))
     wider = {c: F.expr(f"{c} div {fan}").cast("int") for c in ("f", "g")}
     return small.withColumns(wider), -(-fragments // fan)
 
 
-def _solve(rows: DataFrame, fragments: int, fragment_nodes: int) -> DataFrame:
+def _solve(rows: DataFrame, fragments: int, fragment_nodes: int, paths: bool) -> DataFrame:
     """(src, kind, dst, dist, low, scc, path): kind ``root`` per root reached, or
     one ``cyc`` row with the least name on a reachable cycle (low) and the label of
     the node's own cycle (scc, null off the cycles)."""
     if fragments <= 1:
-        local = cut(rows.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True), _ROWS))
+        local = cut(rows.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True, paths), _ROWS))
         return _settle(local.where("kind in ('root', 'cyc', 'on')").select("src", "kind", "dst", "dist", "low", "path"))
-    solved = cut(_solve(*_contract(rows, fragments, fragment_nodes), fragment_nodes))
+    solved = cut(_solve(*_contract(rows, fragments, fragment_nodes, paths), fragment_nodes, paths))
     labels = solved.where("kind = 'cyc' and scc is not null").select(F.col("src").alias("name"), F.col("scc").alias("label"))
     cross = rows.where("kind = 'link' and f <> g")
     exits = cross.select("f", F.col("dst").alias("name")).distinct().join(labels, "name").select("f", F.col("name").alias("src"), "label")
     entries = _entries(rows).select("f", F.col("src").alias("name")).join(labels, "name").select("f", F.col("name").alias("src"), "label")
     told = rows.unionByName(_padded(entries, "in", "label")).unionByName(_padded(exits, "out", "label"))
-    local = cut(told.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True), _ROWS))
+    local = cut(told.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True, paths), _ROWS))
     own = local.where("kind in ('root', 'cyc', 'on')").select("src", "kind", "dst", "dist", "low", "path")
     a, b = local.where("kind = 'link'").alias("a"), solved.alias("b")
     beyond = a.join(b, F.col("a.dst") == F.col("b.src")).select(
@@ -349,16 +349,16 @@ def _place(nodes: DataFrame, fragments: int) -> tuple[DataFrame, int]:
     return cut(ranged.select("name", F.spark_partition_id().alias("f"))), fragments
 
 
-def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES, paths: bool = True) -> DataFrame:
     """(node, root, depth, path, cycle) from nodes (name, place) and links (src, dst).
 
     ``place`` is any number that orders nodes so that related ones are near (load
-    order); it only affects speed. ``path`` runs from below the node to the root.
-    Nodes from which a cycle can be reached have one row: root = the least name on
+    order); it only affects speed. ``path`` runs from below the node to the root; it
+    is null where ``paths`` is off, and then nothing grows with the depth. Nodes from which a cycle can be reached have one row: root = the least name on
     such a cycle, depth -1 on a cycle and -2 otherwise, no path; nodes of one cycle
     (strongly connected component) share a value of ``cycle``.
     """
-    solved = _solve(*_fragments(nodes, links, fragment_nodes), fragment_nodes)
+    solved = _solve(*_fragments(nodes, links, fragment_nodes), fragment_nodes, paths)
     cyc = F.col("kind") == "cyc"
     return solved.select(
         F.col("src").alias("node"),
@@ -374,7 +374,7 @@ def _reach(rows: DataFrame, fragments: int, fragment_nodes: int) -> DataFrame:
     local = rows.groupBy("f").applyInPandas(lambda x: _Local(x).reach(True), shape)
     if fragments <= 1:
         return local.select("src", "dst").distinct()
-    beyond = cut(_reach(*_contract(rows, fragments, fragment_nodes), fragment_nodes))
+    beyond = cut(_reach(*_contract(rows, fragments, fragment_nodes, False), fragment_nodes))
     local = cut(local)
     inner = local.where("kind = 'in'").select("src", "dst")
     exits = local.where("kind = 'link'").select("src", F.col("dst").alias("x"))
@@ -426,7 +426,7 @@ def _flooded(rows: DataFrame, fragments: int, fragment_nodes: int, starts: DataF
     if fragments <= 1:
         return near.where("kind = 'in'").select("src").distinct()
     exits = near.where("kind = 'link'").select("src").distinct()
-    quotient, wider = _contract(rows, fragments, fragment_nodes)
+    quotient, wider = _contract(rows, fragments, fragment_nodes, False)
     beyond = _flooded(quotient, wider, fragment_nodes, exits.join(quotient.select("f", "src").distinct(), "src").select("f", "src"))
     doors = cut(exits.unionByName(beyond).distinct())
     inside = run(starts.unionByName(doors.join(rows.select("f", "src").distinct(), "src").select("f", "src")))

@@ -66,7 +66,7 @@ def _unmark(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    out = hierarchy.hierarchies(*forest(spark, sf))
+    out = hierarchy.hierarchies(*forest(spark, sf), paths=False)
     return _unmark(out, "node", "root").select("forest", "node", "root", "depth")
 
 

@@ -86,6 +86,17 @@ def test_edge_cases(spark):
     assert ("b", "b", -1) in rows(hierarchy.hierarchies(n, me), "node", "root", "depth")
 
 
+def test_deep_chain_in_random_order(spark):
+    r = random.Random(9)
+    nodes = [f"n{i:04d}" for i in range(3000)]
+    links = {(nodes[i], nodes[i - 1]) for i in range(1, 3000)}
+    n = spark.createDataFrame([(x, r.random()) for x in nodes], "name string, place double")
+    e = spark.createDataFrame(list(links), "src string, dst string")
+    got = hierarchy.hierarchies(n, e, fragment_nodes=500, paths=False).collect()
+    assert {x.node: x.depth for x in got} == {x: i for i, x in enumerate(nodes)}
+    assert all(x.path is None for x in got)
+
+
 def test_many_nodes_of_one_place(spark):
     nodes = [f"n{i:03d}" for i in range(60)]
     links = {(nodes[i], nodes[i - 1]) for i in range(1, 60)}
