@@ -140,7 +140,7 @@ with one as (
     row_number() over (partition by execution_id order by recorded_at desc nulls last) as rn from executions where execution_id is not null
 ),
 iv as (
-  select nullif(nullif(split_part(lower({trim('hostname')}), '.', 1), ''), 'unknown') as h, epoch_us(started_at) as s, epoch_us(completed_at) as t
+  select distinct nullif(nullif(split_part(lower({trim('hostname')}), '.', 1), ''), 'unknown') as h, epoch_us(started_at) as s, epoch_us(completed_at) as t
   from one where rn = 1 and completed_at > started_at
 ),
 marked as (
