@@ -5,10 +5,14 @@ length. ``pack`` writes the bytes: each container is one row with a block (the
 original bytes one after the other) and an index of path, offset, length and
 checksum; ``unpack`` and ``lookup`` read them back, in parallel, byte for byte.
 
-A group (directory) of any size is split by a hash of the path into lanes of at
-most ``lane_files`` expected files, so no task holds a whole hot group; a lane's
-running sum of sizes cuts it into containers of about ``target_bytes``. A file
-never spans containers; a container holds the files that begin in its stretch.
+Containers fill across groups (directories): one running sum over all files, of
+sizes and ``ENTRY_BYTES`` per index entry, is cut into stretches of
+``target_bytes``. A file never spans containers; a container holds the files that
+begin in its stretch, so all but the last are about full. The sum is taken within
+lanes and over the lanes' totals: whole groups share a lane by hash, and a group of
+more than ``lane_files`` files is split over several by a hash of the path, so no
+task holds a whole hot group. The input is read twice (totals, then files): cut an
+expensive one first. ``group_plan`` cuts each group for itself instead.
 
 Defined results: files with null path or size are not packed; empty files take
 an index entry of length 0; of repeated paths each row must be one file
@@ -27,6 +31,8 @@ SMALL_BYTES = 65_536
 CROWDED = 20
 TARGET_BYTES = 32 << 20
 LANE_FILES = 65_536
+#: Lanes that groups share; what an index entry counts for, which bounds the files of a container.
+LANES, ENTRY_BYTES = 65_536, 128
 
 
 def crowded_small_files(files: DataFrame, group: str = "directory", small: int = SMALL_BYTES, crowd: int = CROWDED) -> DataFrame:
@@ -43,15 +49,40 @@ def _with_counts(files: DataFrame, counts: DataFrame, group: str) -> DataFrame:
     return files.join(named, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
-def container_plan(files: DataFrame, group: str = "directory", target_bytes: int = TARGET_BYTES, lane_files: int = LANE_FILES) -> DataFrame:
-    """Adds ``container`` (group, lane, number), ``offset`` and ``length`` to files
-    with ``path``, ``size`` and ``group_files``."""
-    files = files.drop("container", "offset", "length", "_lane", "_before", "_no")
+def _placeable(files: DataFrame, lane_files: int) -> DataFrame:
+    files = files.drop("container", "offset", "length", "_shared", "_lane", "_before", "_cost", "_no", "_start", "_start_cost")
     lanes = F.ceil(F.col("group_files") / F.lit(lane_files))
     lane = F.pmod(F.xxhash64("path"), lanes).cast("int")
+    return files.where(F.col("path").isNotNull() & F.col("size").isNotNull()).withColumn("_lane", lane)
+
+
+def _sum_before(column: str | Column, w: W) -> Column:
+    return F.coalesce(F.sum(column).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def container_plan(files: DataFrame, group: str = "directory", target_bytes: int = TARGET_BYTES, lane_files: int = LANE_FILES) -> DataFrame:
+    """Adds ``container`` (its number, as text), ``offset`` and ``length`` to files
+    with ``path``, ``size`` and ``group_files``; containers fill across groups."""
+    placed = _placeable(files, lane_files).withColumn("_shared", F.pmod(F.xxhash64(group), F.lit(LANES)).cast("int"))
+    cost = F.col("size") + ENTRY_BYTES
+    # at most LANES rows and one per lane_files files
+    totals = placed.groupBy("_shared", "_lane").agg(F.sum("size").alias("_bytes"), F.sum(cost).alias("_costs"))
+    w = W.orderBy("_shared", "_lane")
+    starts = totals.select("_shared", "_lane", _sum_before("_bytes", w).alias("_start"), _sum_before("_costs", w).alias("_start_cost"))
+    w = W.partitionBy("_shared", "_lane").orderBy(group, "path")
+    placed = placed.withColumns({"_before": _sum_before("size", w), "_cost": _sum_before(cost, w)})
+    placed = placed.join(F.broadcast(starts), ["_shared", "_lane"]).withColumn("_before", F.col("_before") + F.col("_start"))
+    placed = placed.withColumn("_no", F.expr(f"(_cost + _start_cost) div {target_bytes}"))
+    first = F.min("_before").over(W.partitionBy("_no"))
+    placed = placed.withColumns({"container": F.col("_no").cast("string"), "offset": F.col("_before") - first, "length": F.col("size")})
+    return placed.drop("_shared", "_lane", "_before", "_cost", "_no", "_start", "_start_cost")
+
+
+def group_plan(files: DataFrame, group: str = "directory", target_bytes: int = TARGET_BYTES, lane_files: int = LANE_FILES) -> DataFrame:
+    """Like ``container_plan``, but no container holds files of two groups or lanes:
+    ``container`` is group, lane and number, and a small group gets a small container."""
     w = W.partitionBy(group, "_lane").orderBy("path")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = files.where(F.col("path").isNotNull() & F.col("size").isNotNull()).withColumn("_lane", lane).withColumn("_before", before)
+    placed = _placeable(files, lane_files).withColumn("_before", _sum_before("size", w))
     placed = placed.withColumn("_no", F.expr(f"_before div {target_bytes}"))
     first = F.min("_before").over(W.partitionBy(group, "_lane", "_no"))
     placed = placed.withColumn("offset", F.col("_before") - first)
@@ -68,7 +99,8 @@ def pack(files: DataFrame, group: str = "directory", target_bytes: int = TARGET_
     sized = files.select(group, "path", "content").where(F.col("content").isNotNull() & F.col("path").isNotNull()).withColumn("size", F.octet_length("content").cast("bigint"))
     counts = sized.groupBy(group).agg(F.count("*").alias("group_files"))
     plan = container_plan(_with_counts(sized, counts, group), group, target_bytes, lane_files)
-    entry = F.struct("offset", "path", "length", F.sha2("content", 256).alias("checksum"))
+    # an empty file sorts before the one that begins at its offset, as in the block
+    entry = F.struct("offset", "length", "path", F.sha2("content", 256).alias("checksum"))
     return plan.select("container", "offset", "content", entry.alias("e")).groupBy("container").agg(
         F.expr("listagg(content) within group (order by offset, e.length, e.path)").alias("block"), F.array_sort(F.collect_list("e")).alias("index")
     )

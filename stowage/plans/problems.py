@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, times
 from ..operators import compaction, hierarchy, intervals, orphans
-from ..session import table
+from ..session import cut, table
 
 MAX_GAP_US = 72 * 3_600_000_000
 
@@ -131,9 +131,16 @@ def current_files(spark: SparkSession, sf: str) -> DataFrame:
     return now.join(sizes, now["digest"] == sizes["key"]).select("path", "digest", "size", digests.directory("path").alias("directory"))
 
 
+def p4_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each small file of a crowded directory goes; containers fill across directories."""
+    small = cut(compaction.crowded_small_files(current_files(spark, sf)))
+    return compaction.container_plan(small).select("container", "offset", "length", "path", "digest")
+
+
 def p4_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan of one directory at a time, as its SQL defines it."""
     small = compaction.crowded_small_files(current_files(spark, sf))
-    return compaction.container_plan(small).select("container", "offset", "length", "path", "digest")
+    return compaction.group_plan(small).select("container", "offset", "length", "path", "digest")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

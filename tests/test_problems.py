@@ -126,6 +126,35 @@ def test_crowded_groups_and_plan(spark):
         assert s[0][0] == 0 and all(a[1] == b[0] for a, b in zip(s, s[1:]))
 
 
+def test_containers_fill_across_groups(spark):
+    """Many small directories, one split over lanes, and empty files."""
+    files = [(f"d{i % 90}", f"d{i % 90}/{i}", i % 40) for i in range(3000)] + [("hot", f"hot/{i}", 10) for i in range(1000)]
+    df = compaction.crowded_small_files(spark.createDataFrame(files, "directory string, path string, size long"))
+    for target, lane_files in ((20_000, 64), (20_000, 65_536), (10**9, 64)):
+        plan = compaction.container_plan(df, target_bytes=target, lane_files=lane_files).collect()
+        assert sorted((x.directory, x.path, x.length) for x in plan) == sorted(files)
+        spans, cost = {}, {}
+        for x in plan:
+            spans.setdefault(x.container, []).append((x.offset, x.offset + x.length))
+            cost[x.container] = cost.get(x.container, 0) + x.length + compaction.ENTRY_BYTES
+        for s in spans.values():
+            s.sort()
+            assert s[0][0] == 0 and all(a[1] == b[0] for a, b in zip(s, s[1:]))
+        full = sorted(cost.values())[1:]
+        assert all(target - 200 < c < target + 200 for c in full), full
+        assert len(cost) == -(-sum(f[2] + compaction.ENTRY_BYTES for f in files) // target)
+
+
+def test_packed_query_fills_containers(spark):
+    from oracle import DATA
+
+    from stowage.plans import problems
+
+    packed = problems.p4_packed(spark, DATA)
+    assert rows(packed, "path", "digest", "length") == rows(problems.p4_plan(spark, DATA), "path", "digest", "length")
+    assert packed.select("container").distinct().count() == 1  # 1.8 MB in six directories
+
+
 # -- names -----------------------------------------------------------------------------
 
 
