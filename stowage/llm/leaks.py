@@ -7,7 +7,8 @@ four-word phrases of all items are searched backward at once, and their
 occurrences located. Whatever holds twelve words with one in six changed holds
 one of its phrases unchanged. Occurrences of one item in one text are then
 verified exactly: a run of at least ``RUN`` item words, beginning and ending
-with equal words, at most one in six of them changed, missing or added.
+with equal words, at most one in six of them changed, missing or added. Spans
+are the union of all such runs, whatever phrases they hold.
 
 Words are runs of letters, digits and marks (a Han or Kana character alone is
 a word), compared after compatibility composition and case folding; apostrophes,
@@ -39,6 +40,8 @@ RUN, PHRASE, ALLOWANCE = 12, 4, 6
 CHUNK_CHARS, ITEM_BLOCK_CHARS = 3_000_000, 4_000_000
 #: From here on words are not listed; words per index.
 LONG_CHARS, INDEX_WORDS = 20_000_000, 1_000_000
+#: Starts of runs that are followed at once.
+START_BLOCK = 4_096
 
 _MARKUP = r"</?[A-Za-z!][^<>]{0,200}>|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|\[\d{1,4}\]|(?<=\])\([^()\s]{1,300}\)"
 _INNER = "'\u2019\u02bc\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -122,9 +125,60 @@ def holds_run(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
-def _verify(item: np.ndarray, text: np.ndarray, k: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+def _merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of ranges; such as only touch stay apart."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def run_ranges(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
+    """The union of the text ranges of all runs as ``holds_run`` defines them: from
+    each equal pair of words, the farthest end within the edits that its item words allow."""
+    m = len(item)
+    starts = [(a, c) for a in range(m - RUN + 1) for c in np.flatnonzero(text == item[a]).tolist()]
+    out: list[tuple[int, int]] = []
+    for n in range(0, len(starts), START_BLOCK):
+        a, c = np.array(starts[n : n + START_BLOCK], np.int64).T
+        last = _last_ends(item, text, a, c)
+        out = _merged([*out, *zip(c[last > 0].tolist(), last[last > 0].tolist())])
+    return out
+
+
+def _last_ends(item: np.ndarray, text: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Farthest end in the text of a run from item word a and text word c; 0 for none."""
+    m, far = len(item), 1 << 20
+    # no run drifts from its diagonal by more than its edits
+    slack = m // ALLOWANCE
+    drift = np.arange(-slack, slack + 1)
+    padded = np.r_[np.full(slack + 1, -1), text, np.full(m + slack + 1, -1)]
+    last = np.zeros(len(a), np.int64)
+    rows = np.arange(len(a))
+    # cost[., k]: least edits of the item words so far against text up to their number + drift[k]
+    cost = np.repeat(np.where(drift < 0, far, drift)[None, :], len(a), 0)
+    for length in range(2, m + 1):
+        live = (a[rows] + length <= m) & (cost.min(axis=1) <= (m - a[rows]) // ALLOWANCE)
+        rows, cost = rows[live], cost[live]
+        if not len(rows):
+            break
+        at = (c[rows] + length - 1)[:, None] + drift[None, :]
+        same = padded[at + slack + 1] == item[a[rows] + length - 1][:, None]
+        if length >= RUN:
+            ok = same & (cost * ALLOWANCE <= length)
+            last[rows] = np.maximum(last[rows], np.where(ok, at + 1, 0).max(axis=1))
+        best = cost + ~same
+        best[:, :-1] = np.minimum(best[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(best - drift, axis=1) + drift
+    return last
+
+
+def _verify(item: np.ndarray, text: np.ndarray, k: np.ndarray, j: np.ndarray, whole: bool = True) -> list[tuple[int, int]]:
     """Word ranges of the text where the item leaks; k, j: phrase places in the
-    item and the text."""
+    item and the text. Unless ``whole``, the ranges of the phrases only."""
     order = np.lexsort((k, j - k))
     k, j = k[order], j[order]
     d = j - k
@@ -132,17 +186,20 @@ def _verify(item: np.ndarray, text: np.ndarray, k: np.ndarray, j: np.ndarray) ->
     cuts = np.flatnonzero(np.diff(d) > len(item)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(k)]):
         kk, jj, dd = k[a:b], j[a:b], d[a:b]
+        slack = len(item) // ALLOWANCE + 1
+        low, high = max(0, int(dd.min()) - slack), int(dd.max()) + len(item) + slack
+        near = text[low:high]
+        if whole:
+            if np.isin(item, near).sum() >= RUN - RUN // ALLOWANCE:
+                out += [(low + x, low + y) for x, y in run_ranges(item, near)]
+            continue
         # RUN - PHRASE + 1 successive phrases on one diagonal are an exact run
         need = RUN - PHRASE
         exact = len(kk) > need and bool(((dd[need:] == dd[:-need]) & (kk[need:] - kk[:-need] == need)).any())
-        if not exact:
-            slack = len(item) // ALLOWANCE + 1
-            low, high = max(0, int(dd.min()) - slack), int(dd.max()) + len(item) + slack
-            near = text[low:high]
-            if np.isin(item, near).sum() < RUN - RUN // ALLOWANCE or not holds_run(item, near):
-                continue
+        if not exact and (np.isin(item, near).sum() < RUN - RUN // ALLOWANCE or not holds_run(item, near)):
+            continue
         out.append((int(jj.min()), int(jj.max()) + PHRASE))
-    return out
+    return _merged(out) if whole else out
 
 
 def _stretches(s: np.ndarray, words: int, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,7 +209,7 @@ def _stretches(s: np.ndarray, words: int, overlap: int) -> Iterator[tuple[int, n
         yield a, s[a : a + words]
 
 
-def _shard(texts: list[str], items: Items, cut: Words, seen: dict[str, int], index_words: int = INDEX_WORDS) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def _shard(texts: list[str], items: Items, cut: Words, seen: dict[str, int], index_words: int = INDEX_WORDS, whole: bool = True) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(text number, item number, word ranges) of all leaks in a block of texts, by
     one index per ``index_words`` words."""
 
@@ -171,12 +228,12 @@ def _shard(texts: list[str], items: Items, cut: Words, seen: dict[str, int], ind
             held.append((n, a, s))
             count += len(s)
             if count >= index_words:
-                yield from _search(held, items)
+                yield from _search(held, items, whole)
                 held, count = [], 0
-    yield from _search(held, items)
+    yield from _search(held, items, whole)
 
 
-def _search(held: list[tuple[int, int, np.ndarray]], items: Items) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def _search(held: list[tuple[int, int, np.ndarray]], items: Items, whole: bool) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """All leaks in stretches (text number, begin, word numbers), by one index."""
     symbol, of, at = [], [], []
     for n, (_, _, s) in enumerate(held):
@@ -209,18 +266,18 @@ def _search(held: list[tuple[int, int, np.ndarray]], items: Items) -> Iterator[t
     cuts = np.flatnonzero((np.diff(stretch) != 0) | (np.diff(item) != 0)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(stretch)]):
         n, begin, words = held[stretch[a]]
-        found = _verify(items.words[item[a]], words, k[a:b], j[a:b])
+        found = _verify(items.words[item[a]], words, k[a:b], j[a:b], whole)
         if found:
             yield n, int(item[a]), [(begin + x, begin + y) for x, y in found]
 
 
-def _find(held, chunk_chars: int, index_words: int):
+def _find(held, chunk_chars: int, index_words: int, whole: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, cut, seen = held.value, Words(), {}
 
         def block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
             leaks_of: dict[int, list[tuple[int, int, int]]] = {}
-            for n, i, found in _shard(texts, items, cut, seen, index_words):
+            for n, i, found in _shard(texts, items, cut, seen, index_words, whole):
                 leaks_of.setdefault(n, []).extend((i, a, b) for a, b in found)
             rows = []
             for n, found in leaks_of.items():
@@ -246,8 +303,9 @@ def _find(held, chunk_chars: int, index_words: int):
     return run
 
 
-def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS, index_words: int = INDEX_WORDS) -> DataFrame:
-    """(doc, item, a, b): where each item leaks into each text, in code points."""
+def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS, index_words: int = INDEX_WORDS, whole: bool = True) -> DataFrame:
+    """(doc, item, a, b): where each item leaks into each text, in code points; unless
+    ``whole``, only about where (enough for which items leak, and quicker)."""
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & (F.char_length(text) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     tests = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).dropDuplicates()
@@ -257,14 +315,14 @@ def leak_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     for n in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)
         held = spark.sparkContext.broadcast(Items([(r.i, r.t) for r in part.orderBy("i").collect()]))
-        one = rows.mapInArrow(_find(held, chunk_chars, index_words), "doc bigint, item bigint, a bigint, b bigint")
+        one = rows.mapInArrow(_find(held, chunk_chars, index_words, whole), "doc bigint, item bigint, a bigint, b bigint")
         out = one if out is None else out.unionByName(one)
     return spark.createDataFrame([], "doc bigint, item bigint, a bigint, b bigint") if out is None else out
 
 
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, chunk_chars: int = CHUNK_CHARS, index_words: int = INDEX_WORDS) -> DataFrame:
     """One row per document and item that leaked into it."""
-    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars, index_words)
+    found = leak_spans(docs, key, text, items, item_key, item_text, chunk_chars, index_words, whole=False)
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key)).dropDuplicates()
 
 

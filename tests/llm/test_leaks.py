@@ -67,6 +67,47 @@ def test_alignment_against_brute_force():
     assert seen == {True, False}
 
 
+def every_run(item, text):
+    """The words of the text in some run, one start and one edit table at a time."""
+    out = set()
+    for a in range(len(item) - leaks.RUN + 1):
+        for c in range(len(text)):
+            if item[a] != text[c]:
+                continue
+            row = list(range(len(text) - c))  # row[j]: least edits of item[a:i] against text[c : c + j + 1]
+            for i in range(a + 1, len(item)):
+                now = [row[0] + 1]
+                for j in range(1, len(row)):
+                    same = item[i] == text[c + j]
+                    if same and i + 1 - a >= leaks.RUN and row[j - 1] * leaks.ALLOWANCE <= i + 1 - a:
+                        out |= set(range(c, c + j + 1))
+                    now.append(min(row[j - 1] + (not same), row[j] + 1, now[-1] + 1))
+                row = now
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_ranges_are_those_of_all_runs(monkeypatch, block):
+    monkeypatch.setattr(leaks, "START_BLOCK", block)
+    r = random.Random(7)
+    seen = set()
+    for _ in range(80):
+        item = [r.randint(2, r.choice([9, 60])) for _ in range(r.randint(12, 26))]
+        text = [r.randint(2, 60) for _ in range(4)]
+        for _ in range(2):
+            piece = item[r.randint(0, 3) :]
+            for _ in range(r.randint(0, 4)):
+                k = r.randrange(len(piece))
+                piece[k : k + 1] = r.choice([[], [99], [piece[k], 98]])
+            text += piece + [r.randint(2, 60) for _ in range(r.randint(0, 6))]
+        got = leaks.run_ranges(np.array(item), np.array(text))
+        words = {x for a, b in got for x in range(a, b)}
+        assert words == every_run(item, text) and sum(b - a for a, b in got) == len(words)
+        assert bool(got) == leaks.holds_run(np.array(item), np.array(text))
+        seen.add(bool(got))
+    assert seen == {True, False}
+
+
 ITEM = "Every quiet morning the old baker carried seven warm loaves across that narrow bridge before anyone else was awake"
 
 
@@ -115,6 +156,16 @@ def test_removal_spans_and_empty_sides(spark):
     assert leaks.leaks(d, "doc_id", "text", short, "item_id", "text").count() == 0
 
 
+def test_removal_spans_reach_over_whole_runs(spark):
+    w = ITEM.split()
+    run = " ".join(w[:3] + ["XX"] + w[4:8] + ["YY"] + w[9:12])  # one phrase of four words stays
+    stray = " ".join(w[4:8])
+    texts = ["Go. " + run + " Bye.", ITEM + " one two three " + stray + " end", "Then " + " ".join(w[:14] + ["ZZ"] + w[15:18]) + " then"]
+    d, i, _ = find(spark, enumerate(texts))
+    got = [texts[n][a:b] for n, a, b in rows(leaks.removal_spans(d, "doc_id", "text", i, "item_id", "text"))]
+    assert got == [run, ITEM, texts[2][5:-5]]
+
+
 def test_blocks_of_items_and_texts_change_nothing(spark, monkeypatch):
     want = rows(queries.p7_found(spark, DATA))
     monkeypatch.setattr(leaks, "ITEM_BLOCK_CHARS", 10_000)
