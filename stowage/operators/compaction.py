@@ -94,6 +94,11 @@ def container_sizes(plan: DataFrame) -> DataFrame:
     return plan.groupBy("container").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def planned_index(plan: DataFrame, *more: str) -> DataFrame:
+    """(container, index): what each planned container will list, with columns ``more``."""
+    return plan.groupBy("container").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "path", *more))).alias("index"))
+
+
 def pack(files: DataFrame, group: str = "directory", target_bytes: int = TARGET_BYTES, lane_files: int = LANE_FILES) -> DataFrame:
     """(container, block, index) of files with ``path`` and ``content`` (binary)."""
     sized = files.select(group, "path", "content").where(F.col("content").isNotNull() & F.col("path").isNotNull()).withColumn("size", F.octet_length("content").cast("bigint"))

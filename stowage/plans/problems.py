@@ -144,7 +144,9 @@ def p4_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p4_plan(spark, sf).select("path", "digest")
+    """What the indexes of the planned containers list."""
+    index = compaction.planned_index(p4_packed(spark, sf), "digest")
+    return index.select(F.explode("index").alias("e")).select("e.path", "e.digest")
 
 
 def p4_containers(spark: SparkSession, sf: str) -> DataFrame:

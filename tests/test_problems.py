@@ -155,6 +155,15 @@ def test_packed_query_fills_containers(spark):
     assert packed.select("container").distinct().count() == 1  # 1.8 MB in six directories
 
 
+def test_found_executes_the_packing(spark):
+    from oracle import DATA
+
+    from stowage.plans import problems
+
+    plan = problems.p4_found(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") >= 3 and "collect_list" in plan, plan
+
+
 # -- names -----------------------------------------------------------------------------
 
 
