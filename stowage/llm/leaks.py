@@ -10,8 +10,8 @@ verified exactly: a run of at least ``RUN`` item words, beginning and ending
 with equal words, at most one in six of them changed, missing or added. Spans
 are the union of all such runs, whatever phrases they hold.
 
-Words are runs of letters, digits and marks (a Han or Kana character alone is
-a word), compared after compatibility composition and case folding; apostrophes,
+Words are runs of letters, digits and marks (a Han or Kana character alone, the
+latter with its voicing mark, is a word), compared after compatibility composition and case folding; apostrophes,
 soft hyphens and joiners inside a word do not count; tags, entities, numbered notes
 and link targets are blanked.
 
@@ -45,7 +45,7 @@ START_BLOCK = 4_096
 
 _MARKUP = r"</?[A-Za-z!][^<>]{0,200}>|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|\[\d{1,4}\]|(?<=\])\([^()\s]{1,300}\)"
 _INNER = "'\u2019\u02bc\u00ad\u200b\u200c\u200d\u2060\ufeff"
-_WORD = rf"[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]|[\p{{L}}\p{{N}}][[\p{{L}}\p{{N}}\p{{M}}{_INNER}]--[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]]*"
+_WORD = rf"\p{{Han}}|[\p{{Hiragana}}\p{{Katakana}}][\u3099\u309a\uff9e\uff9f]?|[\p{{L}}\p{{N}}][[\p{{L}}\p{{N}}\p{{M}}{_INNER}]--[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]]*"
 _DROP = {ord(c): None for c in _INNER}
 
 

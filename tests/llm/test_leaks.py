@@ -146,6 +146,16 @@ def test_composition(spark):
     assert got == [(1, 7)]
 
 
+def test_composition_of_kana(spark):
+    import unicodedata
+
+    item = "がぎぐげござじずぜぞだぢばびぶべぱぴガギグパピプ"
+    half = "".join(chr(0xFF76 + n) + "\uff9e" for n in range(12))  # half-width, each with its mark
+    full = unicodedata.normalize("NFKC", half)
+    _, _, got = find(spark, [(1, unicodedata.normalize("NFD", item)), (2, half), (3, "かきくけこさしすせそたちはひふへはひカキクハヒフ")], [(7, item), (8, full)])
+    assert got == [(1, 7), (2, 8)]
+
+
 def test_removal_spans_and_empty_sides(spark):
     d, i, _ = find(spark, [(1, "Hello. " + ITEM + " Bye. " + ITEM)])
     spans = rows(leaks.removal_spans(d, "doc_id", "text", i, "item_id", "text"))
