@@ -69,11 +69,16 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_share(spark: SparkSession, sf: str) -> DataFrame:
-    """How much of each document is shared elsewhere."""
+    """How much of each document that shares something is shared elsewhere."""
     return spans.shared_share(p8_found(spark, sf), table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES |= {"p8_found": p8_found, "p8_share": p8_share}
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document is shared elsewhere, 0 for those that share nothing."""
+    return spans.shared_share(p8_found(spark, sf), table(spark, sf, "documents"), "doc_id", "text", every=True)
+
+
+QUERIES |= {"p8_found": p8_found, "p8_share": p8_share, "p8_shares": p8_shares}
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -315,8 +315,11 @@ def merge_spans(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return marked.groupBy(key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
 
 
-def shared_share(spans: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_chars, shared_chars, share) of every record with a shared span."""
+def shared_share(spans: DataFrame, df: DataFrame, key: str, text: str, every: bool = False) -> DataFrame:
+    """(key, n_chars, shared_chars, share) of every record with a shared span, or of
+    ``every`` record with a key: then shared_chars is 0 where nothing is shared, and
+    share is null where there is no text or an empty one."""
     sums = spans.groupBy(key).agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
-    sizes = df.groupBy(key).agg(F.max(F.char_length(text)).cast("bigint").alias("n_chars"))
-    return sizes.join(sums, key).select(key, "n_chars", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("share"))
+    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.char_length(text)).cast("bigint").alias("n_chars"))
+    out = sizes.join(sums, key, "left" if every else "inner").fillna(0, ["shared_chars"])
+    return out.select(key, "n_chars", "shared_chars", F.try_divide("shared_chars", "n_chars").alias("share"))

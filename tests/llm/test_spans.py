@@ -92,3 +92,11 @@ def test_query_and_share(spark):
     assert {tuple(x) for x in queries.p8_found(spark, DATA).collect()} == want
     share = {x.doc_id: x.shared_chars for x in queries.p8_share(spark, DATA).collect()}
     assert share == {d: sum(b - a for i, a, b in want if i == d) for d in {i for i, _, _ in want}}
+
+
+def test_shares_of_every_document(spark):
+    df = spark.createDataFrame([(1, "y" * 400), (2, "y" * 300 + "z" * 100), (3, "abc"), (4, ""), (5, None), (None, "x")], "doc_id long, text string")
+    got = spans.shared_share(spans.shared_spans(df, "doc_id", "text"), df, "doc_id", "text", every=True)
+    assert rows(got) == [(1, 400, 400, 1.0), (2, 400, 300, 0.75), (3, 3, 0, 0.0), (4, 0, 0, None), (5, None, 0, None)]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id is not null")
+    assert rows(queries.p8_shares(spark, DATA), "doc_id") == rows(docs.select("doc_id").distinct())
