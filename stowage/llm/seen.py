@@ -83,6 +83,8 @@ class _Shard:
         self.bits, self.batch_keys, self.filters = bits, batch_keys, []
         self.open = np.empty(0, _KEY)
         self.keys = 0
+        # the newest id and its keys: it may be delivered again in the next call
+        self.last, self.last_keys = None, set()
 
     def seen(self, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """For rows in id order, whether each key came before; takes the new keys in."""
@@ -101,6 +103,13 @@ class _Shard:
         before[asked[old]] = True
         begin = np.where(fresh, first - n, 0)
         out = before[inverse] | (ids > ids[begin[inverse]])
+        if len(ids):
+            again = np.flatnonzero(ids == self.last) if self.last is not None else np.empty(0, np.int64)
+            # answered already, and no earlier occurrence of itself
+            out[[n for n in again.tolist() if keys[n].item() in self.last_keys]] = False
+            if ids[-1] != self.last:
+                self.last, self.last_keys = ids[-1], set()
+            self.last_keys.update(keys[ids == self.last].tolist())
         new = both[asked[~old]]
         self.keys += len(new)
         self.open = np.concatenate([self.open, new])

@@ -66,3 +66,13 @@ def test_audit_reports_the_rate(spark):
 def test_query_against_sql(spark):
     same(queries.p3_found(spark, DATA), connect(DATA), queries.SQL["p3_found"])
     assert queries.p3_audit(spark, DATA).count() == 2
+
+
+@pytest.mark.parametrize("batch_keys", [1, 100])
+def test_repeated_id_at_the_edge_of_a_batch(batch_keys):
+    shard = seen._Shard(32, batch_keys)
+    ask = lambda *r: shard.seen(*(np.array(x, np.int64) for x in zip(*r))).tolist()
+    assert ask((1, 5, 6), (2, 7, 7)) == [False, False]
+    assert ask((2, 7, 7), (2, 5, 6), (3, 7, 7)) == [False, True, True]
+    assert ask((3, 8, 8)) == [False]
+    assert ask((3, 8, 8), (4, 8, 8)) == [False, True]
