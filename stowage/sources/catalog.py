@@ -1,13 +1,12 @@
 """YAML catalogs of namespaces, nodes, templates and functions as DataFrames.
 
-Files are listed and read by Spark's binaryFile source; their texts are rendered
-and parsed in Arrow batches, one file per row, so a catalog of any number of
-files is read in parallel. Names of files are parameters.
+Files are listed by :mod:`walk`, which honours the ignore files of the tree; their
+texts are rendered and parsed in Arrow batches, so a catalog of any number of files
+is read in parallel. Names of files, those of ignore files too, are parameters.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
 import re
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import render
+from ..operators.selection import matches_glob
+from . import walk
 
 NODES = (
     "fqn string, cookbook string, recipe string, description string, tags array<string>, dependencies array<string>, "
@@ -128,50 +129,45 @@ def block(text: str, name: str) -> str | None:
 
 
 def ignored(path: str, patterns: list[str]) -> bool:
-    """Ignore-file rules: the last matching one decides, ``!`` takes back, a slash
-    inside ties to the root, one at the end means folders."""
-    out = False
+    """Whether ignore lines tied to the root leave a file out, or a folder above it."""
+    rules = [("", x) for x in patterns]
     parts = path.strip("/").split("/")
-    for rule in patterns:
-        rule = rule.strip()
-        if not rule or rule.startswith("#"):
-            continue
-        keep = rule.startswith("!")
-        rule = rule.removeprefix("!")
-        folder = rule.endswith("/")
-        rule = rule.rstrip("/")
-        if "/" in rule:
-            heads = ["/".join(parts[: i + 1]) for i in range(len(parts) - folder)]
-            hit = any(fnmatch.fnmatchcase(h, rule.lstrip("/")) for h in heads)
-        else:
-            hit = any(fnmatch.fnmatchcase(p, rule) for p in parts[: len(parts) - folder])
-        if hit:
-            out = not keep
-    return out
+    return any(walk.left_out("/" + "/".join(parts[: n + 1]), n + 1 < len(parts), rules) for n in range(len(parts)))
+
+
+def read_texts(spark: SparkSession, root: str, pattern: str, ignore: list[str] = (), ignore_files: tuple[str, ...] = (walk.GIT_IGNORE,)) -> DataFrame:
+    """(path, text) of all files below ``root`` whose name matches; hidden ones, and
+    those that the tree's ignore files or ``ignore`` leave out, are not read; a missing
+    folder is empty."""
+    files = walk.list_files(spark, root, hidden=False, ignore_files=ignore_files, ignore=list(ignore))
+    named = files.where(matches_glob(F.substring_index("path", "/", -1), [pattern]))
+    return walk.with_contents(named.select("path")).select("path", F.decode("content", "UTF-8").alias("text"))
+
 
+def _parsed(texts: DataFrame, parse, shape: str) -> DataFrame:
+    """Records, as JSON, that ``parse`` makes of each (path, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[str] = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    rows += map(json.dumps, parse(path, text))
+                except Exception as e:
+                    raise CatalogError(f"{path}: {e}") from e
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["row"])
 
-def read_texts(spark: SparkSession, root: str, pattern: str, ignore: list[str] = ()) -> DataFrame:
-    """(path, text) of all files below ``root`` whose name matches, ignored ones
-    left out; a missing folder is empty."""
-    empty = spark.createDataFrame([], "path string, text string")
-    if "://" not in root and not os.path.isdir(root):
-        return empty
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    rows = files.select("path", F.decode("content", "UTF-8").alias("text"))
-    if ignore:
-        base, rules = root.rstrip("/"), list(ignore)
-        drop = F.udf(lambda p: ignored(p.split(base, 1)[-1], rules), "boolean")
-        rows = rows.where(~drop("path"))
-    return rows
+    return texts.mapInArrow(run, "row string").select(F.from_json("row", shape).alias("n")).select("n.*")
 
 
 def _strings(v: Any) -> list[str] | None:
     return None if v is None else [render.as_text(x) for x in (v if isinstance(v, list) else [v])]
 
 
-def parse_namespace(path: str, text: str, project: dict, environment: str | None = None, command: dict[str, str] | None = None, env: dict[str, str] | None = None) -> list[dict]:
+def parse_namespace(path: str, text: str, project: dict, environment: str | None = None, command: dict[str, str] | None = None, env: dict[str, str] | None = None, minimal: bool = False) -> list[dict]:
     """Node records of one file: rendered, parsed, with inherited variables,
-    environment and tags, and dependencies qualified."""
+    environment and tags, and dependencies qualified; ``minimal``: only the columns
+    that planning needs, without working out the nodes' own variables."""
     scope = {"project": {"root": project.get("root", "")}, "cookbook": {"root": os.path.dirname(path)}, "env": env or {}, "var": dict(project.get("variables", {}))}
     variables = scope["var"] | text_variables(text, scope, environment, command)
     scope["var"] = variables
@@ -182,8 +178,8 @@ def parse_namespace(path: str, text: str, project: dict, environment: str | None
     shared = [*(project.get("environment") or []), *(data.get("environment") or [])]
     for name, r in data["recipes"].items():
         r = r or {}
-        own = render.process(r.get("variables") or {}, scope)
-        if environment:
+        own = {} if minimal else render.process(r.get("variables") or {}, scope)
+        if environment and not minimal:
             own |= render.process((r.get("overrides") or {}).get(environment) or {}, scope | {"var": variables | own})
         cache = r.get("cache")
         deps = _strings(r.get("dependencies"))
@@ -193,36 +189,30 @@ def parse_namespace(path: str, text: str, project: dict, environment: str | None
                 "tags": _strings(r.get("tags") or data.get("tags") or []),
                 "dependencies": deps and [d if ":" in d else f"{book}:{d}" for d in deps],
                 "environment": _strings([*shared, *(r.get("environment") or [])]),
+                "config_path": path,
+            }
+        )
+        if not minimal:
+            out[-1] |= {
                 "variables": {k: render.as_text(v) for k, v in (variables | own).items()},
                 "run": r.get("run"), "template": r.get("template"),
                 "cache": cache and {"inputs": _strings(cache.get("inputs")), "outputs": _strings(cache.get("outputs"))},
                 "parameters": json.dumps(to_json_value(r["parameters"]), sort_keys=True) if r.get("parameters") is not None else None,
-                "config_path": path,
             }
-        )
     return out
 
 
-def read_nodes(spark: SparkSession, root: str, project: dict, pattern: str = "*cookbook.y*ml", ignore: list[str] = (), environment: str | None = None, command: dict[str, str] | None = None, env: dict[str, str] | None = None) -> DataFrame:
+def read_nodes(spark: SparkSession, root: str, project: dict, pattern: str = "*cookbook.y*ml", ignore: list[str] = (), ignore_files: tuple[str, ...] = (walk.GIT_IGNORE,), environment: str | None = None, command: dict[str, str] | None = None, env: dict[str, str] | None = None) -> DataFrame:
     """All node records below ``root``; any unreadable file fails the scan."""
-    texts = read_texts(spark, root, pattern, ignore)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[str] = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    rows += map(json.dumps, parse_namespace(path, text, project, environment, command, env))
-                except Exception as e:
-                    raise CatalogError(f"{path}: {e}") from e
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["row"])
-
-    return texts.mapInArrow(run, "row string").select(F.from_json("row", NODES).alias("n")).select("n.*")
+    texts = read_texts(spark, root, pattern, ignore, ignore_files)
+    return _parsed(texts, lambda path, text: parse_namespace(path, text, project, environment, command, env), NODES)
 
 
-def read_minimal(spark: SparkSession, root: str, project: dict, **options) -> DataFrame:
-    """Only what planning needs."""
-    return read_nodes(spark, root, project, **options).select(*MINIMAL)
+def read_minimal(spark: SparkSession, root: str, project: dict, pattern: str = "*cookbook.y*ml", ignore: list[str] = (), ignore_files: tuple[str, ...] = (walk.GIT_IGNORE,), environment: str | None = None, command: dict[str, str] | None = None, env: dict[str, str] | None = None) -> DataFrame:
+    """Only what planning needs; nothing else is worked out or sent."""
+    texts = read_texts(spark, root, pattern, ignore, ignore_files)
+    shape = "fqn string, cookbook string, recipe string, description string, tags array<string>, dependencies array<string>, environment array<string>, config_path string"
+    return _parsed(texts, lambda path, text: parse_namespace(path, text, project, environment, command, env, True), shape)
 
 
 def duplicate_namespaces(nodes: DataFrame) -> DataFrame:
@@ -230,12 +220,10 @@ def duplicate_namespaces(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("cookbook").agg(F.countDistinct("config_path").alias("files")).where("files > 1")
 
 
-def read_templates(spark: SparkSession, folder: str) -> DataFrame:
+def read_templates(spark: SparkSession, folder: str, ignore_files: tuple[str, ...] = (walk.GIT_IGNORE,)) -> DataFrame:
     """(name, description, extends, parameters, template_path, template_content)."""
-    shape = "name string, description string, extends string, parameters string, template_content string"
-    parse = F.udf(lambda t: json.dumps(_template(parse_yaml(t))), "string")
-    rows = read_texts(spark, folder, "*.y*ml").withColumn("j", F.from_json(parse("text"), shape))
-    return rows.select("j.name", "j.description", "j.extends", "j.parameters", F.col("path").alias("template_path"), "j.template_content")
+    shape = "name string, description string, extends string, parameters string, template_path string, template_content string"
+    return _parsed(read_texts(spark, folder, "*.y*ml", ignore_files=ignore_files), lambda path, text: [_template(parse_yaml(text)) | {"template_path": path}], shape)
 
 
 def _template(t: Any) -> dict:
@@ -244,19 +232,18 @@ def _template(t: Any) -> dict:
     return {"name": t["name"], "description": t.get("description"), "extends": t.get("extends"), "parameters": json.dumps(to_json_value(t.get("parameters") or {})), "template_content": t["template"]}
 
 
-def read_functions(spark: SparkSession, folder: str) -> DataFrame:
+def read_functions(spark: SparkSession, folder: str, ignore_files: tuple[str, ...] = (walk.GIT_IGNORE,)) -> DataFrame:
     """(name, returns, parameters, run) of function files, whose name must be the
     file's."""
 
-    def one(path: str, text: str) -> str:
+    def one(path: str, text: str) -> list[dict]:
         h = parse_yaml(text)
         stem = os.path.splitext(os.path.basename(path))[0]
         if not isinstance(h, dict) or h.get("name") != stem or not h.get("run"):
-            raise CatalogError(f"{path}: name must be {stem!r} and run is required")
-        return json.dumps({"name": stem, "returns": h.get("returns", "string"), "parameters": json.dumps(to_json_value(h.get("parameters") or {})), "run": h["run"]})
+            raise CatalogError(f"name must be {stem!r} and run is required")
+        return [{"name": stem, "returns": h.get("returns", "string"), "parameters": json.dumps(to_json_value(h.get("parameters") or {})), "run": h["run"]}]
 
-    parse = F.udf(one, "string")
-    return read_texts(spark, folder, "*.y*ml").select(F.from_json(parse("path", "text"), "name string, returns string, parameters string, run string").alias("j")).select("j.*")
+    return _parsed(read_texts(spark, folder, "*.y*ml", ignore_files=ignore_files), one, "name string, returns string, parameters string, run string")
 
 
 def valid_template_text(text: str) -> bool:

@@ -8,8 +8,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import digests
+from ..functions import blake3, digests
 from ..operators.selection import matches_glob
+from . import walk
 
 MANIFEST = (
     "action_key string, recipe string, exit_code int, outputs array<struct<path:string,digest:string,size:bigint,is_executable:boolean,"
@@ -18,19 +19,24 @@ MANIFEST = (
 )
 
 
-def read_files(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
-    """(path, size, content) of every file below ``root``, with paths relative to
-    ``base``; names that begin with ``.`` or ``_`` are left out, as in all of Spark's
-    listings."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = (base or root).rstrip("/") + "/"
-    full = F.regexp_replace("path", "^file:(//)?", "")
-    return files.select(F.when(F.startswith(full, F.lit(prefix)), F.substring(full, F.lit(len(prefix) + 1), F.length(full))).otherwise(full).alias("path"), F.col("length").alias("size"), "content")
+def read_files(spark: SparkSession, root: str, base: str | None = None, patterns: list[str] | None = None, contents: bool = True, **options) -> DataFrame:
+    """(path, size, content) of every file below ``root``, whatever its name begins
+    with, with paths relative to ``base``; with ``patterns`` only the files that match
+    one are read. ``options``: those of :func:`walk.list_files` (ignore files)."""
+    prefix = walk._local(base or root).rstrip("/") + "/"
+    full = F.col("path")
+    inside = F.when(F.startswith(full, F.lit(prefix)), F.substring(full, F.lit(len(prefix) + 1), F.length(full))).otherwise(full)
+    files = walk.list_files(spark, root, **options).withColumn("name", inside)
+    if patterns is not None:
+        files = files.where(matches_glob("name", patterns))
+    if contents:
+        files = walk.with_contents(files)
+    return files.drop("path").withColumnRenamed("name", "path").select("path", "size", *(["content"] if contents else []))
 
 
-def hashed_files(spark: SparkSession, root: str, patterns: list[str]) -> DataFrame:
-    """(path, size, digest) of the files that match a pattern; only those are read."""
-    return read_files(spark, root).where(matches_glob("path", patterns)).select("path", "size", F.sha2("content", 256).alias("digest"))
+def hashed_files(spark: SparkSession, root: str, patterns: list[str], base: str | None = None, **options) -> DataFrame:
+    """(path, size, digest): BLAKE3 of the files that match a pattern; only those are read."""
+    return read_files(spark, root, base, patterns, **options).select("path", "size", blake3.blake3("content").alias("digest"))
 
 
 def expand_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -51,6 +57,20 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("action_key", F.coalesce(digests.manifest_key("name"), "action_key")).where(F.col("action_key").isNotNull()).drop("name")
 
 
+def write_manifest_files(manifests: DataFrame, root: str) -> int:
+    """One file per action key, ``<hex of the key>.json``; a later write replaces it."""
+    path = F.concat(F.lit(root.rstrip("/") + "/"), digests.manifest_name("action_key"))
+    return walk.write_files(manifests.where("action_key is not null").select(path.alias("path"), F.encode(manifest_json(), "UTF-8").alias("content")))
+
+
+def read_manifest_files(spark: SparkSession, root: str) -> DataFrame:
+    """Manifests of a folder of ``<hex>.json`` files; other names are skipped."""
+    name = F.substring_index("path", "/", -1)
+    named = walk.list_files(spark, root, ignore_files=()).withColumn("action_key", digests.manifest_key(name)).where("action_key is not null")
+    text = walk.with_contents(named).select("action_key", F.decode("content", "UTF-8").alias("text"))
+    return text.select("action_key", F.from_json("text", MANIFEST).alias("m")).select("action_key", "m.*").drop(F.col("m.action_key"))
+
+
 def manifest_json() -> Column:
     """A manifest's columns as JSON text."""
     return F.to_json(F.struct("recipe", "exit_code", "outputs", "stdout_digest", "stderr_digest", "execution_metadata"))
@@ -105,6 +125,13 @@ def write_logs(results: DataFrame, path: str) -> None:
     results.select(log_name("fqn").alias("log"), text.alias("value")).repartition("log").write.mode("overwrite").partitionBy("log").text(path)
 
 
+def write_log_files(results: DataFrame, root: str) -> int:
+    """The same, each as a file of that name in one folder."""
+    text = F.concat(F.coalesce("stdout", F.lit("")), F.coalesce("stderr", F.lit("")))
+    path = F.concat(F.lit(root.rstrip("/") + "/"), log_name("fqn"))
+    return walk.write_files(results.where("fqn is not null").select(path.alias("path"), F.encode(text, "UTF-8").alias("content")))
+
+
 def environment_values(names: list[str]) -> dict[str, str]:
     """Named variables only; unset ones are empty."""
     return {n: os.environ.get(n, "") for n in names}

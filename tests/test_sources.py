@@ -3,8 +3,11 @@ import os
 import pytest
 from conftest import rows
 
+from pyspark.sql import functions as F
+
+from stowage.functions import blake3
 from stowage.operators import graph, store
-from stowage.sources import catalog, files
+from stowage.sources import catalog, files, walk
 from stowage.streaming import index as stream
 
 PROJECT = """name: demo
@@ -116,11 +119,61 @@ def test_templates_and_functions(spark, tmp_path):
 
 def test_file_scans(spark, tree):
     root = str(tree / "foo")
-    assert rows(files.hashed_files(spark, root, ["src/**/*.c"]), "path") == [("src/a/x.c",)]
+    assert rows(files.hashed_files(spark, root, ["src/**/*.c"]), "path") == [("src/.h.c",), ("src/a/x.c",)]
     outputs = spark.createDataFrame([("out",), ("cookbook.yml",), ("absent",)], "path string")
     assert rows(files.expand_outputs(files.read_files(spark, root), outputs), "path") == [("cookbook.yml",), ("out/f",), ("out/g/h",)]
 
 
+NAMES = ("pkg/__init__.py", "pkg/a.py", "_gen/x.py", ".env.py", "_", ".git/HEAD.py", "deep/er/_x/.y/z.py")
+
+
+def test_no_name_is_left_out(spark, tmp_path):
+    for n in NAMES:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(n.encode())
+    os.symlink(tmp_path / "pkg", tmp_path / "loop")
+    for step in (1, 3, 10**6):
+        got = walk.list_files(spark, str(tmp_path), step=step)
+        assert rows(got) == sorted(((str(tmp_path / n), len(n)) for n in NAMES), key=repr)
+    got = files.hashed_files(spark, str(tmp_path), ["**/*.py"], ignore_files=())
+    assert rows(got) == sorted(((n, len(n), blake3.digest(n.encode())) for n in NAMES if n.endswith(".py")), key=repr)
+    assert rows(files.read_files(spark, str(tmp_path / "none"))) == []
+    outputs = spark.createDataFrame([("_gen",), ("pkg",), (".env.py",)], "path string")
+    assert rows(files.expand_outputs(files.read_files(spark, str(tmp_path), contents=False), outputs), "path") == [(".env.py",), ("_gen/x.py",), ("pkg/__init__.py",), ("pkg/a.py",)]
+
+
+def test_ignore_files_of_the_tree_decide(spark, tmp_path):
+    texts = {
+        ".gitignore": "*.log\n/build/\n!keep.log\n", "a.log": "", "keep.log": "", "build/x": "", "sub/build/x": "", "sub/.gitignore": "!a.log\nonly/*.c\n", "sub/a.log": "",
+        "sub/only/a.c": "", "sub/only/d/a.c": "", "sub/.own": "d/\n", "x.c": "",
+    }
+    for n, t in texts.items():
+        (tmp_path / "top" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "top" / n).write_text(t)
+    root = str(tmp_path / "top")
+    names = lambda **o: {r.path[len(root) + 1 :] for r in walk.list_files(spark, root, **o).collect()}
+    assert names() == set(texts)  # no checkout: .gitignore does not count
+    assert names(ignore_files=(".own",)) == set(texts) - {"sub/only/d/a.c"}
+    (tmp_path / "top" / ".git").mkdir()
+    assert names() == set(texts) - {"a.log", "build/x", "sub/only/a.c"}
+    assert names(hidden=False, ignore=["*.c"]) == {"keep.log", "sub/build/x", "sub/a.log"}
+    inner = {r.path[len(root) + 1 :] for r in walk.list_files(spark, root + "/sub").collect()}
+    assert inner == {"sub/build/x", "sub/.gitignore", "sub/a.log", "sub/only/d/a.c", "sub/.own"}
+
+
+def test_manifest_and_log_files(spark, tmp_path):
+    m = spark.createDataFrame([("k_1", "a:b", 0, [("p", "d", 1, True, None)], None, None, None), (None, "x", 1, None, None, None, None)], files.MANIFEST)
+    root = str(tmp_path / "m")
+    assert files.write_manifest_files(m, root) == 1 and os.listdir(root) == ["6b5f31.json"]
+    assert files.write_manifest_files(m.withColumn("recipe", F.lit("a:c")), root) == 1
+    (tmp_path / "m" / "xyz.json").write_text("{}")
+    back = files.read_manifest_files(spark, root).collect()
+    assert [(r.action_key, r.recipe, r.outputs[0].path) for r in back] == [("k_1", "a:c", "p")]
+    logs = spark.createDataFrame([("a:b", "out", "err"), ("_c:d", None, "e")], "fqn string, stdout string, stderr string")
+    assert files.write_log_files(logs, str(tmp_path / "l")) == 2
+    assert (tmp_path / "l" / "a.b.log").read_text() == "outerr" and (tmp_path / "l" / "_c.d.log").read_text() == "e"
+
+
 def test_blob_store_round_trip(spark, tmp_path):
     path = str(tmp_path / "store")
     blobs = spark.createDataFrame([(bytearray(b"one"),), (bytearray(b"two"),), (bytearray(b"one"),), (None,)], "content binary")
