@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests
-from ..session import table
+from ..session import cut, remove_folder, shared_folder, table
 from . import bpe, leaks, seen, spans
 
 SOURCES = ("blobs", "output_files")
@@ -32,14 +32,31 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """The measured rate of wrong answers, by probing certainly absent keys."""
-    a = seen.audit(_digest_rows(spark, sf), rows=_row_count(spark, sf))
-    return a.select(_source().alias("source_table"), "keys", "filters", "bytes", "probes", "wrong", "rate", "bound")
+    """The measured rate of wrong answers: the keys of each table are sealed, and the
+    stored filters probed with certainly absent keys."""
+    out = None
+    for name, rows in zip(SOURCES, _digest_rows(spark, sf)):
+        folder = shared_folder(spark, "keys")
+        seen.seal(rows, folder)
+        one = cut(seen.audit_store(spark, folder).withColumn("source_table", F.lit(name)))
+        remove_folder(spark, folder)
+        out = one if out is None else out.unionByName(one)
+    return out.select("source_table", "keys", "filters", "bytes", "probes", "wrong", "rate", "bound")
+
+
+def p3_sealed(spark: SparkSession, sf: str) -> DataFrame:
+    """Output files whose digest was put as a blob, told from sealed filters of the blobs alone."""
+    blobs, files = _digest_rows(spark, sf)
+    folder = shared_folder(spark, "keys")
+    seen.seal(blobs, folder)
+    out = cut(seen.probe(files, folder))
+    remove_folder(spark, folder)
+    return out.select(F.col("id").alias("output_id"))
 
 
 _WHITE = "chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)"
 
-P3_FOUND = f"""
+_P3_KEYS = f"""
 with b as (
   select blob_id as id, lower(trim(digest, {_WHITE})) as d, lower(trim(algorithm, {_WHITE})) as a from blobs
 ),
@@ -48,13 +65,20 @@ k as (
   union all
   select 'output_files', output_id, case when contains(digest, ':') then lower(trim(digest, {_WHITE})) else 'blake3:' || lower(trim(digest, {_WHITE})) end from output_files
 ),
-w as (select * from k where regexp_full_match(key, '(blake3|sha256):[0-9a-f]{{64}}')),
-f as (select source_table, key, min(id) as first from w group by 1, 2)
+w as (select * from k where regexp_full_match(key, '(blake3|sha256):[0-9a-f]{{64}}'))
+"""
+
+P3_FOUND = (
+    _P3_KEYS
+    + """, f as (select source_table, key, min(id) as first from w group by 1, 2)
 select distinct w.source_table, w.id as row_id from w join f on w.source_table = f.source_table and w.key = f.key where w.id > f.first
 """
+)
+
+P3_SEALED = _P3_KEYS + "select distinct id as output_id from w where source_table = 'output_files' and key in (select key from w where source_table = 'blobs')"
 
-QUERIES = {"p3_found": p3_found, "p3_audit": p3_audit}
-SQL = {"p3_found": P3_FOUND}
+QUERIES = {"p3_found": p3_found, "p3_audit": p3_audit, "p3_sealed": p3_sealed}
+SQL = {"p3_found": P3_FOUND, "p3_sealed": P3_SEALED}
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:

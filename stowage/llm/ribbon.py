@@ -91,6 +91,22 @@ class Ribbon:
         # free variables stay zero: an unset row must not keep a value
         return table
 
+    def dump(self) -> bytes:
+        """The filter as bytes, for a sealed generation."""
+        exact = np.array(sorted(self.exact), _U).reshape(-1, 2)
+        head = np.array([self.keys, self.bits, self.buckets, self.starts, self.table.itemsize, len(exact)], "<i8")
+        return head.tobytes() + exact.astype("<u8").tobytes() + self.table.tobytes()
+
+    @classmethod
+    def load(cls, data: bytes) -> Ribbon:
+        out = cls.__new__(cls)
+        keys, bits, buckets, starts, item, exact = np.frombuffer(data, "<i8", 6).tolist()
+        out.keys, out.bits, out.buckets, out.starts = keys, bits, buckets, starts
+        out.fp_mask, out.width = _U((1 << bits) - 1), starts + BAND
+        out.exact = set(map(tuple, np.frombuffer(data, "<u8", 2 * exact, 48).reshape(-1, 2).tolist()))
+        out.table = np.frombuffer(data, f"<u{item}", offset=48 + 16 * exact).reshape(buckets, out.width + BAND)
+        return out
+
     @property
     def nbytes(self) -> int:
         return self.table.nbytes + 16 * len(self.exact)

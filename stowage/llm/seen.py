@@ -8,10 +8,18 @@ was seen before. There are no false negatives; the chance of a false positive
 is at most (sealed batches of the shard) * 2**-bits, and ``audit`` measures it
 with keys that are certainly absent.
 
+``seal`` keeps the filters: it adds a generation of filters of all new keys to a
+store, and ``probe`` answers later records from the stored generations alone. So
+neither old records nor old keys are read, moved or sorted again; a key costs about
+45 bits of the store. ``advance`` does both for a batch of records, ``audit_store``
+probes what is stored with absent keys.
+
 Scale: keys travel as 128-bit hashes. A map-side combiner settles repetitions
 inside a block of the input at once, so a key that holds a third of all rows
 sends one row per block to its shard; the settled rows bypass the shards. The
-number of shards follows the row count, which bounds a shard's filters.
+number of shards follows the row count, which bounds a shard's filters. A store's
+shards are fixed when it begins; a shard that a hot key fills is probed by several
+tasks, each with the shard's filters.
 
 Defined results: rows with null id or null key are no cases; a repeated id is
 one record and no earlier occurrence of itself; other columns are dropped.
@@ -23,10 +31,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import cut, shuffle_partitions
 from .ribbon import Ribbon
 
 #: Fingerprint bits, keys per sealed batch, rows per block of the combiner.
@@ -34,6 +42,8 @@ BITS, BATCH_KEYS, BLOCK_ROWS = 32, 4_096, 131_072
 #: Rows per shard (about a dozen batches) and per task.
 SHARD_ROWS, TASK_ROWS = 50_000, 250_000
 ABSENT_PER_BATCH = 4_096
+#: Keys of one stored filter (about 1.4 MB), and the least number of shards of a store.
+STORE_KEYS, STORE_SHARDS = 250_000, 16
 
 _ROW = "part int, id bigint, hi bigint, lo bigint, shard int"
 _KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
@@ -196,3 +206,191 @@ def audit(parts: list[DataFrame], bits: int = BITS, rows: int | None = None, bat
     bound = F.max("filters") * F.lit(2.0**-bits)
     out = per.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("keys", "filters", "bytes", "probes", "wrong")], bound.alias("bound"))
     return out.withColumn("rate", F.col("wrong") / F.col("probes"))
+
+
+# -- sealed generations ---------------------------------------------------------------
+
+_STORED = "generation int, shards int, shard int, no int, keys bigint, bits int, payload binary"
+_MIXED = "shard int, salt int, kind int, no int, hi bigint, lo bigint, id bigint, payload binary"
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The filters of all generations of a store; none if it does not exist."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.schema(_STORED).parquet(path)
+
+
+def _hashed(df: DataFrame, shards: int, with_id: bool) -> DataFrame:
+    key = F.col("key")
+    rows = df.where(key.isNotNull() & F.col("id").isNotNull()) if with_id else df.where(key.isNotNull())
+    rows = rows.select(F.xxhash64(key).alias("hi"), F.xxhash64(F.lit(31), key).alias("lo"), (F.col("id").cast("bigint") if with_id else F.lit(0).cast("bigint")).alias("id"))
+    # unsigned remainder, as in the shards of a single pass
+    return rows.withColumn("shard", F.pmod(F.xxhash64("hi"), F.lit(shards)).cast("int"))
+
+
+def _mixed(rows: DataFrame, held: DataFrame | None, count: int) -> DataFrame:
+    """Records (kind 1) after the filters (kind 0) of their shard, by shard and salt."""
+    salts = rows.groupBy("shard").count().where(F.col("count") > 2 * TASK_ROWS).select("shard", F.ceil(F.col("count") / TASK_ROWS).cast("int").alias("salts"))
+    salts = F.broadcast(cut(salts))  # at most one row per 2 * TASK_ROWS records
+    null, zero = F.lit(None), F.lit(0)
+    many = F.coalesce("salts", F.lit(1))
+    out = rows.join(salts, "shard", "left").select(
+        "shard", F.pmod(F.xxhash64("id", "hi"), many).cast("int").alias("salt"), F.lit(1).alias("kind"), zero.alias("no"), "hi", "lo", "id", null.cast("binary").alias("payload")
+    )
+    if held is not None:
+        filters = held.join(salts, "shard", "left").select(
+            "shard", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"), zero.alias("kind"), "no",
+            F.col("generation").cast("bigint").alias("hi"), zero.cast("bigint").alias("lo"), zero.cast("bigint").alias("id"), "payload",
+        )
+        out = filters.unionByName(out)
+    tasks = max(shuffle_partitions(rows.sparkSession), -(-count // TASK_ROWS))
+    return out.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "hi", "lo", "no")
+
+
+def _streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[Ribbon], dict[str, np.ndarray]]]:
+    """Per run of records of one (shard, salt): the shard, its stored filters, the rows."""
+    now, filters = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, salt, kind = (_column(batch, c) for c in ("shard", "salt", "kind"))
+        cuts = np.flatnonzero(np.diff(shard) | np.diff(salt) | np.diff(kind)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(shard)]):
+            if now != (shard[a], salt[a]):
+                now, filters = (shard[a], salt[a]), []
+            if kind[a] == 0:
+                filters += [Ribbon.load(x) for x in batch.column("payload").slice(a, b - a).to_pylist()]
+            else:
+                yield int(shard[a]), filters, {c: _column(batch, c)[a:b] for c in ("hi", "lo", "id")}
+
+
+def _held(filters: list[Ribbon], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    old = np.zeros(len(hi), bool)
+    for f in filters:
+        rest = np.flatnonzero(~old)
+        old[rest] = f.contains(hi[rest], lo[rest])
+    return old
+
+
+def _seal(generation: int, shards: int, bits: int, store_keys: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, no, new, size, newest = None, 0, [], 0, None
+
+        def filters(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal no, new, size
+            keys = np.unique(np.concatenate(new)) if new else np.empty(0, _KEY)
+            while len(keys) >= store_keys or (last and len(keys)):
+                full, keys = keys[:store_keys], keys[store_keys:]
+                f = Ribbon(full["hi"].copy(), full["lo"].copy(), bits)
+                row = [generation, shards, now, no, len(full), bits, f.dump()]
+                kinds = [pa.int32()] * 4 + [pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["generation", "shards", "shard", "no", "keys", "bits", "payload"])
+                no += 1
+            new, size = ([keys] if len(keys) else []), len(keys)
+
+        for shard, held, x in _streamed(batches):
+            if shard != now:
+                yield from filters(True)
+                now, no, new, size, newest = shard, 0, [], 0, None
+            keys = np.empty(len(x["hi"]), _KEY)
+            keys["hi"], keys["lo"] = x["hi"].view(np.uint64), x["lo"].view(np.uint64)
+            # rows come in key order: a key of an earlier batch can only be its last
+            last, keys = keys[-1], np.unique(keys[keys != newest] if newest is not None else keys)
+            newest = last
+            keys = keys[~_held(held, keys["hi"].copy(), keys["lo"].copy())]
+            if len(keys):
+                new.append(keys)
+                size += len(keys)
+            if size >= store_keys:
+                yield from filters(False)
+        yield from filters(True)
+
+    return run
+
+
+def _local_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key once per block of the input."""
+    for x in _blocks(batches, BLOCK_ROWS):
+        order = np.lexsort((x["lo"], x["hi"]))
+        hi, lo = x["hi"][order], x["lo"][order]
+        head = order[np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[c][head]) for c in ("hi", "lo", "id", "shard")], names=["hi", "lo", "id", "shard"])
+
+
+def _generation(held: DataFrame | None) -> tuple[int, int]:
+    """The number of the next generation and the store's shards (0: not yet known)."""
+    last = None if held is None else held.agg(F.max("generation"), F.max("shards")).first()
+    return (0, 0) if last is None or last[0] is None else (last[0] + 1, last[1])
+
+
+def seal(df: DataFrame, path: str, bits: int = BITS, shards: int | None = None, store_keys: int = STORE_KEYS) -> int:
+    """Adds a generation with the keys (``key``) of ``df`` that the store at ``path``
+    does not hold yet; returns its number. The first one fixes the store's shards."""
+    spark = df.sparkSession
+    held = stored(spark, path)
+    generation, fixed = _generation(held)
+    count = df.count()
+    shards = fixed or shards or max(STORE_SHARDS, -(-count // store_keys))
+    rows = _hashed(df, shards, False).mapInArrow(_local_keys, "hi bigint, lo bigint, id bigint, shard int")
+    # keys, not records: no key is hot here, and no shard is salted
+    null, zero = F.lit(None), F.lit(0)
+    new = rows.select("shard", zero.alias("salt"), F.lit(1).alias("kind"), zero.alias("no"), "hi", "lo", "id", null.cast("binary").alias("payload"))
+    if held is not None:
+        big = F.col("generation").cast("bigint")
+        new = held.select("shard", zero.alias("salt"), zero.alias("kind"), "no", big.alias("hi"), zero.cast("bigint").alias("lo"), zero.cast("bigint").alias("id"), "payload").unionByName(new)
+    tasks = min(shards, max(shuffle_partitions(spark), -(-count // TASK_ROWS)))
+    sorted_ = new.repartition(tasks, "shard").sortWithinPartitions("shard", "kind", "hi", "lo", "no")
+    sorted_.mapInArrow(_seal(generation, shards, bits, store_keys), _STORED).write.mode("append").parquet(path)
+    return generation
+
+
+def probe(df: DataFrame, path: str) -> DataFrame:
+    """(id) of the records (id, key) whose key a sealed generation holds; a store that
+    does not exist holds nothing."""
+    held = stored(df.sparkSession, path)
+    _, shards = _generation(held)
+    if not shards:
+        return df.sparkSession.createDataFrame([], "id bigint")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, filters, x in _streamed(batches):
+            old = _held(filters, x["hi"].view(np.uint64), x["lo"].view(np.uint64))
+            if old.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x["id"][old])], names=["id"])
+
+    return _mixed(_hashed(df, shards, True), held, df.count()).mapInArrow(run, "id bigint").dropDuplicates()
+
+
+def advance(df: DataFrame, path: str, bits: int = BITS) -> DataFrame:
+    """(id) of the records of a new batch whose key came before, in a sealed generation
+    or under a smaller id of the batch; then the batch's new keys are sealed. Ids are of
+    later records than those sealed."""
+    old = probe(df, path).unionByName(seen_before([df], bits).select("id"))
+    old = cut(old.dropDuplicates())
+    seal(df, path, bits)
+    return old
+
+
+def audit_store(spark: SparkSession, path: str) -> DataFrame:
+    """(keys, filters, bytes, probes, wrong, rate, bound) of a store, measured on the
+    stored filters with keys that are certainly absent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, generation, no, keys, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "generation", "no", "keys", "payload"))):
+                f = Ribbon.load(data)
+                draw = np.random.default_rng([shard, generation, no, 20])
+                probes = ABSENT_PER_BATCH * max(1, keys // BATCH_KEYS)
+                hi, lo = (draw.integers(0, 1 << 63, probes, dtype=np.int64).view(np.uint64) for _ in range(2))
+                row = [keys, f.nbytes, probes, int(f.contains(hi, lo).sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([v], pa.int64()) for v in row)], names=["shard", "keys", "bytes", "probes", "wrong"])
+
+    held = stored(spark, path)
+    bits = held.agg(F.min("bits")).first()[0] or BITS
+    per = held.mapInArrow(run, "shard int, keys bigint, bytes bigint, probes bigint, wrong bigint").groupBy("shard").agg(F.count("*").alias("filters"), *[F.sum(c).alias(c) for c in ("keys", "bytes", "probes", "wrong")])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("keys", "filters", "bytes", "probes", "wrong")]
+    out = per.agg(*sums, (F.coalesce(F.max("filters"), F.lit(0)) * F.lit(2.0**-bits)).alias("bound"))
+    # a key is asked of every filter of its shard
+    return out.withColumn("rate", F.try_divide(F.col("wrong"), F.col("probes")))
