@@ -4,6 +4,8 @@
 length. ``pack`` writes the bytes: each container is one row with a block (the
 original bytes one after the other) and an index of path, offset, length and
 checksum; ``unpack`` and ``lookup`` read them back, in parallel, byte for byte.
+``write_archive`` keeps them: a file per block and an index table beside, from which
+``archive_lookup`` finds a file without opening any other block.
 
 Containers fill across groups (directories): one running sum over all files, of
 sizes and ``ENTRY_BYTES`` per index entry, is cut into stretches of
@@ -23,10 +25,15 @@ the plan adds (container, offset, length) are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources import walk
+
 SMALL_BYTES = 65_536
 CROWDED = 20
 TARGET_BYTES = 32 << 20
@@ -122,7 +129,76 @@ def unpack(containers: DataFrame) -> DataFrame:
 
 
 def lookup(containers: DataFrame, paths: list[str]) -> DataFrame:
-    """The named files only: the index is searched before any block is cut."""
+    """The named files only, of containers held as a table: the index is searched
+    before any block is cut. An archive finds them without reading other blocks."""
     wanted = F.filter("index", lambda e: e["path"].isin(paths))
     hit = containers.withColumn("index", wanted).where(F.size("index") > 0)
     return unpack(hit)
+
+
+# -- archives -----------------------------------------------------------------------
+
+ENTRY = "path string, container string, offset bigint, length bigint, checksum string"
+#: Folders of an archive's index: what a lookup of one path opens at least.
+INDEX_BUCKETS = 64
+
+
+def _bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def write_archive(files: DataFrame, root: str, group: str = "directory", target_bytes: int = TARGET_BYTES, lane_files: int = LANE_FILES, buckets: int = INDEX_BUCKETS) -> None:
+    """Packs files (``path``, ``content``) into an archive: each container's block is one
+    file of ``root/blocks``, and ``root/index`` is a table of its own, by buckets of the
+    path and sorted by it. A block is written by the task that holds it, under a name
+    that depends on the data alone, so a repeated task writes the same file again."""
+    blocks = root.rstrip("/") + "/blocks/"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, block, index in zip(*(batch.column(c) for c in ("container", "block", "index"))):
+                walk.write_bytes(blocks + name.as_py(), block.as_py())
+                e = index.values
+                fields = [e.field("path"), pa.array([name.as_py()] * len(e), pa.string()), e.field("offset"), e.field("length"), e.field("checksum")]
+                yield pa.RecordBatch.from_arrays(fields, names=["path", "container", "offset", "length", "checksum"])
+
+    packed = pack(files, group, target_bytes, lane_files).select("container", "block", "index")
+    entries = packed.mapInArrow(run, ENTRY).withColumn("bucket", _bucket(F.col("path"), buckets))
+    entries.repartition("bucket").sortWithinPartitions("bucket", "path").write.mode("overwrite").partitionBy("bucket").parquet(root.rstrip("/") + "/index")
+
+
+def archive_index(spark: SparkSession, root: str) -> DataFrame:
+    """(path, container, offset, length, checksum, bucket) of every file of an archive."""
+    return spark.read.schema(ENTRY + ", bucket int").parquet(root.rstrip("/") + "/index")
+
+
+def read_archive(entries: DataFrame, root: str) -> DataFrame:
+    """(path, content, ok) of the given index entries: only their ranges of the named
+    blocks are read, in the order in which they lie."""
+    blocks = root.rstrip("/") + "/blocks/"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, held, size, begin = batch.column("path"), [], 0, 0
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("container", "offset", "length"))))
+            for n, (name, offset, length) in enumerate(places):
+                held.append(walk.read_range(blocks + name, offset, length))
+                size += length
+                if size >= TARGET_BYTES or n + 1 == len(places):
+                    part = slice(begin, n + 1)
+                    yield pa.RecordBatch.from_arrays([paths[part], pa.array(held, pa.binary()), batch.column("checksum")[part]], names=["path", "content", "checksum"])
+                    held, size, begin = [], 0, n + 1
+
+    rows = entries.select("path", "container", "offset", "length", "checksum")
+    rows = rows.repartition("container").sortWithinPartitions("container", "offset")
+    out = rows.mapInArrow(run, "path string, content binary, checksum string")
+    return out.select("path", "content", (F.sha2("content", 256) == F.col("checksum")).alias("ok"))
+
+
+def archive_lookup(spark: SparkSession, root: str, paths: list[str], buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """(path, content, ok) of the named files: their buckets of the index are searched,
+    then their ranges of the named blocks read. Names that are not there give no row."""
+    named = spark.createDataFrame([(p,) for p in set(paths)], "path string").select(_bucket(F.col("path"), buckets).alias("b")).distinct()
+    within = [r.b for r in named.collect()]  # no more than the names given
+    entries = archive_index(spark, root).where(F.col("bucket").isin(within) & F.col("path").isin(list(set(paths))))
+    return read_archive(entries, root)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, times
 from ..operators import compaction, hierarchy, intervals, orphans
-from ..session import cut, table
+from ..session import cut, remove_folder, shared_folder, table
 
 MAX_GAP_US = 72 * 3_600_000_000
 
@@ -155,11 +155,15 @@ def p4_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_archive(spark: SparkSession, sf: str) -> DataFrame:
-    """Packs the bytes of every text into containers and reads them back."""
+    """Writes the bytes of every text into an archive and reads them back by its index."""
     docs = table(spark, sf, "documents").where(F.col("text").isNotNull())
     files = docs.select(F.coalesce("source", F.lit("")).alias("directory"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    back = compaction.unpack(compaction.pack(files))
-    return back.select("path", F.octet_length("content").cast("bigint").alias("length"), F.sha2("content", 256).alias("checksum"), "ok")
+    root = shared_folder(spark, "archive")
+    compaction.write_archive(files, root)
+    back = compaction.read_archive(compaction.archive_index(spark, root), root)
+    out = cut(back.select("path", F.octet_length("content").cast("bigint").alias("length"), F.sha2("content", 256).alias("checksum"), "ok"))
+    remove_folder(spark, root)
+    return out
 
 
 # -- p5 ----------------------------------------------------------------------

@@ -72,10 +72,23 @@ def read_bytes(path: str) -> bytes:
         system, inner = fs.FileSystem.from_uri(path)
         with system.open_input_stream(inner) as f:
             return f.read()
-    with open(path, "rb") as f:
+    with open(_local(path), "rb") as f:
         return f.read()
 
 
+def read_range(path: str, offset: int, length: int) -> bytes:
+    """``length`` bytes from ``offset`` on; nothing else of the file is read."""
+    if _remote(path):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        with system.open_input_file(inner) as f:
+            return f.read_at(length, offset)
+    with open(_local(path), "rb") as f:
+        f.seek(offset)
+        return f.read(length)
+
+
 def write_bytes(path: str, data: bytes) -> None:
     """Written beside the target and moved, so that readers never see half a file and a
     repeated task gives the same one."""
@@ -86,6 +99,7 @@ def write_bytes(path: str, data: bytes) -> None:
         with system.open_output_stream(inner) as f:
             f.write(data)
         return
+    path = _local(path)
     os.makedirs(os.path.dirname(path), exist_ok=True)
     part = f"{path}.{os.getpid()}.part"
     with open(part, "wb") as f:

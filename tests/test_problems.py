@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime
 
@@ -112,6 +113,28 @@ def test_pack_edge_cases(spark):
     assert compaction.unpack(compaction.pack(df.limit(0))).count() == 0
 
 
+def test_archive_lookup_opens_the_named_blocks_only(spark, tmp_path):
+    r = random.Random(6)
+    files = [(f"d{i % 7}/f{i}", r.randbytes(r.choice([0, 1, 90, 400]))) for i in range(300)] + [("_x/.y", b"hidden"), ("null/one", None)]
+    df = spark.createDataFrame(files, "path string, content binary").withColumn("directory", digests.directory("path"))
+    root = str(tmp_path / "a")
+    compaction.write_archive(df, root, target_bytes=8000, buckets=8)
+    index = compaction.archive_index(spark, root)
+    want = {p: c for p, c in files if c is not None}
+    assert {(x.path, bytes(x.content), x.ok) for x in compaction.read_archive(index, root).collect()} == {(p, c, True) for p, c in want.items()}
+    blocks = {x.container for x in index.collect()}
+    assert sorted(os.listdir(f"{root}/blocks")) == sorted(blocks) and 5 < len(blocks) < 40
+    named = {x.path: x.container for x in index.where("path in ('d3/f10', '_x/.y')").collect()}
+    for b in blocks - set(named.values()):
+        os.remove(f"{root}/blocks/{b}")
+    found = compaction.archive_lookup(spark, root, [*named, "not/there"], buckets=8)
+    assert {(x.path, bytes(x.content), x.ok) for x in found.collect()} == {(p, want[p], True) for p in named}
+    plan = index.where("bucket in (1) and path in ('a')")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "path" in plan.split("PushedFilters")[1]
+    compaction.write_archive(df.limit(0), root, buckets=8)
+    assert compaction.archive_lookup(spark, root, ["d3/f10"], buckets=8).count() == 0
+
+
 def test_crowded_groups_and_plan(spark):
     files = [("d", f"d/{i}", i) for i in range(30)] + [("e", "e/1", 1)] + [("d", "d/big", 10**6), ("d", "d/none", None)]
     df = spark.createDataFrame(files, "directory string, path string, size long")
