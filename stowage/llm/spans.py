@@ -4,21 +4,31 @@ Windows of ``ANCHOR`` characters are hashed only at positions whose remainder
 modulo ``PERIOD`` lies in a difference cover. For any two equal runs of at least
 ``LENGTH = PERIOD + ANCHOR - 1`` characters some shift puts both at cover
 positions, so they share an aligned anchor, wherever the runs stand in their
-texts. Two passes over the texts:
-
-1. anchors, pre-aggregated per block of texts, then by hash: which anchors
-   occur in more than one record;
-2. texts with such anchors are extended: every window of ``LENGTH`` characters
-   that holds one is hashed to 128 bits. A window that two records of the same
-   block hold is settled there; the others meet by hash. Windows held by two
-   records are shared, and their union gives the maximal stretches.
-
-Texts are never shuffled. The shared anchors reach the second pass as a
-broadcast Bloom bitmap of checked size; where they need more than
-``MAX_FILTER_BYTES`` the pass runs once per part of the hash range. A text or
-passage that a third of all records hold is two rows per block and window, not
-one per record; where one is told of by more than ``HOT_BLOCKS`` blocks, windows
-meet in salted groups first. No group lists its pairs.
+texts, and then extends:
+
+1. anchors, pre-aggregated per block of texts, then by hash: which anchors occur
+   in more than one record. The cover is perfect: runs whose distance is no
+   multiple of the period share one anchor per period, at two different
+   remainders; all others share those of every remainder, of which the first is
+   enough. So an anchor found at one remainder only is left out unless it is the
+   first, and copies cost no more anchors than shifted passages;
+2. the places of shared anchors, by a join with their hashes, and the texts that
+   hold them; each place sends what stands within a period of it, once, to its
+   anchor's group;
+3. in a group, texts are compared outward from the anchor: a window of ``LENGTH``
+   characters that holds it is shared if another record has the same characters
+   on both sides. Each place gives one stretch; their union is the result.
+
+So what is moved follows the anchors (fourteen of 183 characters) and the shared
+places (one per period), never the characters. The shared hashes and the places
+are broadcast where they are counted to be few, and joined by shuffle otherwise;
+the texts are read a fixed number of times.
+
+A passage that a third of all records hold would make a group too large for one
+task: anchors with more than ``HOT_ROWS`` places are extended by the hashes of
+their windows instead, which spread. There, a window that two records of one
+block hold is settled in the block, others meet by hash, in salted groups first
+where more than ``HOT_BLOCKS`` blocks tell of one. No group lists its pairs.
 
 Defined results: null, empty and short texts share nothing; rows repeated under
 one id are one record; equal texts under two ids are shared whole; offsets are
@@ -42,8 +52,10 @@ LENGTH = 300
 #: A perfect difference set: every remainder modulo 183 is a difference of two.
 PERIOD = 183
 COVER = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
-MAX_FILTER_BYTES = 64 << 20
-BITS_PER_ANCHOR, PROBES = 16, 6
+#: Rows (hashes, or places) that are broadcast at most: about 16 MB.
+BROADCAST_ROWS = 500_000
+#: Places of an anchor that one task compares, and places compared at once.
+HOT_ROWS, GROUP_ROWS = 10_000, 8_192
 #: Characters hashed at once, and per block within which rows are aggregated.
 CHUNK_CHARS = 2_000_000
 #: Blocks that may tell of one window before such windows meet in salted groups first.
@@ -137,73 +149,188 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+_NUMBER = np.full(PERIOD, -1, np.int64)
+_NUMBER[list(COVER)] = np.arange(len(COVER))
+
+
 def _emit_anchors(length: int, chunk_chars: int):
+    """Per block and anchor: its least and greatest record, the remainders at which it
+    stands (bits), the number of its places. In the order of the texts, which packs well."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, codes, offsets, _ in _texts(batches, length, chunk_chars):
-            text, _, h = _anchors(offsets, codes, length)
+            text, at, h = _anchors(offsets, codes, length)
             order = np.argsort(h, kind="stable")
             heads = _groups(order, h)
             if not len(heads):
                 continue
             doc = ids[text][order]
-            low, high = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][heads].view(np.int64)), pa.array(low), pa.array(high)], names=["h", "low", "high"])
+            bit = np.int64(1) << _NUMBER[(at - offsets[text]) % PERIOD][order]
+            count = np.diff(np.r_[heads, len(order)])
+            cols = [h[order][heads].view(np.int64), np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads), np.bitwise_or.reduceat(bit, heads), count]
+            stand = np.argsort(order[heads])
+            yield pa.RecordBatch.from_arrays([pa.array(c[stand]) for c in cols], names=["h", "low", "high", "mask", "n"])
 
     return run
 
 
-def _probe_bits(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for i in range(PROBES):
-        yield (mix(h, 100 + i) % _U(bits)).astype(np.int64)
+def _emit_places(length: int, chunk_chars: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, codes, offsets, begins in _texts(batches, length, chunk_chars):
+            text, at, h = _anchors(offsets, codes, length)
+            cols = [h.view(np.int64), ids[text], at - offsets[text] + begins[text]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "doc", "at"])
+
+    return run
 
 
-def _bitmap_parts(bits: int):
-    """Sparse words (word, value) of the Bloom bitmap of a partition's hashes."""
+def _emit_contexts(length: int):
+    """What stands within a period of each place, left and right of its anchor."""
+    size, slack = length - PERIOD + 1, PERIOD - 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            if not len(h):
-                continue
-            at = np.unique(np.concatenate(list(_probe_bits(h, bits))))
-            word = at >> 6
-            heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            value = np.bitwise_or.reduceat(_U(1) << (at & 63).astype(_U), heads)
-            yield pa.RecordBatch.from_arrays([pa.array(word[heads]), pa.array(value.view(np.int64))], names=["word", "value"])
+            out: list[tuple] = []
+            for doc, text, places in zip(*(batch.column(c) for c in ("doc", "t", "places"))):
+                doc, t, entries = doc.as_py(), text.as_py(), places.values
+                at, h = (entries.field(c).to_numpy() for c in ("at", "h"))
+                inside = at + size <= len(t)
+                at, h = at[inside], h[inside]
+                # of rows under one id, only those that have the anchor there
+                codes = np.frombuffer("".join(t[p : p + size] for p in at.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
+                real = window_hashes(codes, size, 1)[::size].view(np.int64) == h if len(at) else np.empty(0, bool)
+                out += [(x, doc, p, t[max(0, p - slack) : p], t[p + size : p + size + slack]) for x, p in zip(h[real].tolist(), at[real].tolist())]
+                if len(out) >= 20_000:
+                    yield _context_rows(out)
+                    out = []
+            if out:
+                yield _context_rows(out)
 
     return run
 
 
-def _bitmap(shared: DataFrame, count: int) -> np.ndarray:
-    bits = max(64, count * BITS_PER_ANCHOR)
-    bits += -bits % 64
-    words = shared.mapInArrow(_bitmap_parts(bits), "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value"))
-    out = np.zeros(bits // 64, _U)
-    x = words.toArrow()
-    out[x.column("word").to_numpy()] = x.column("value").to_numpy().view(np.uint64)
+def _context_rows(rows: list[tuple]) -> pa.RecordBatch:
+    h, doc, at, left, right = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(left), pa.array(right)], names=["h", "doc", "at", "left", "right"])
+
+
+def _matrix(texts: list[str], reverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, from the anchor outward, and their numbers."""
+    size = np.array([len(x) for x in texts], np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    row = np.repeat(np.arange(len(texts)), size)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros((len(texts), PERIOD - 1), np.uint32)
+    out[row, size[row] - 1 - column if reverse else column] = flat
+    return out, size
+
+
+def _outward(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, 2, ... code points of each row."""
+    values = mix(codes.astype(_U), 4)
+    out = np.zeros((len(codes), codes.shape[1] + 1), _U)
+    for i in range(codes.shape[1]):
+        out[:, i + 1] = _join(out[:, i], values[:, i])
     return out
 
 
-def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(h), bool)
-    for at in _probe_bits(h, 64 * len(bitmap)):
-        ok &= ((bitmap[at >> 6] >> (at & 63).astype(_U)) & _U(1)).astype(bool)
-    return ok
+def _stretches(h: np.ndarray, doc: np.ndarray, left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For places sorted by anchor: the most and the least characters left of the anchor
+    that a shared window has (-1, -1 for none). A window with k of them has slack - k on
+    the right; it is shared if another record of the group has the same on both sides."""
+    slack = PERIOD - 1
+    lc, ln = _matrix(left, True)
+    rc, rn = _matrix(right, False)
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[head, len(h)])
+    most, least = np.full(len(h), -1), np.full(len(h), -1)
+
+    # groups of two: how far both go on alike
+    i = head[size == 2]
+    i = i[doc[i] != doc[i + 1]]
+    if len(i):
+        reach = []
+        for c, n in ((lc, ln), (rc, rn)):
+            alike = np.c_[c[i] == c[i + 1], np.zeros(len(i), bool)]
+            reach.append(np.minimum(np.argmin(alike, axis=1), np.minimum(n[i], n[i + 1])))
+        l, r = reach
+        ok = l + r >= slack
+        for j in (i[ok], i[ok] + 1):
+            most[j], least[j] = l[ok], slack - r[ok]
+
+    # larger ones: windows of one group with equal hashes on both sides
+    big = np.flatnonzero(np.repeat(size > 2, size))
+    if len(big):
+        group, of = np.repeat(np.arange(len(size)), size)[big].astype(_U), doc[big]
+        lh, rh = _outward(lc[big]), _outward(rc[big])
+        for k in range(slack + 1):
+            fits = np.flatnonzero((ln[big] >= k) & (rn[big] >= slack - k))
+            key = _join(lh[fits, k], rh[fits, slack - k])
+            order = np.lexsort((key, group[fits]))
+            heads = _groups(order, key, group[fits])
+            if not len(heads):
+                continue
+            d = of[fits][order]
+            both = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
+            hit = big[fits[order[np.repeat(both, np.diff(np.r_[heads, len(order)]))]]]
+            most[hit] = k
+            least[hit[least[hit] < 0]] = k
+    return most, least
+
+
+def _compare(length: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else None
+            held = []
+            if t is None or not t.num_rows:
+                return
+            h = t.column("h").to_numpy()
+            whole = len(h) if last else int(np.searchsorted(np.cumsum(h[::-1] != h[-1]) > 0, True))
+            whole = whole if last else len(h) - whole  # the last group may go on
+            if whole < len(h):
+                held = [t.slice(whole)]
+            if not whole:
+                return
+            t, h = t.slice(0, whole), h[:whole]
+            doc, at = t.column("doc").to_numpy(), t.column("at").to_numpy()
+            most, least = _stretches(h, doc, t.column("left").to_pylist(), t.column("right").to_pylist())
+            hit = most >= 0
+            cols = [doc[hit], (at - most)[hit], (at - least)[hit] + length]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= GROUP_ROWS:
+                yield from block(False)
+        yield from block(True)
+
+    return run
+
+
+def _placed(batches: Iterable[pa.RecordBatch], least: int, chunk_chars: int) -> Iterator[tuple]:
+    """Blocks as of ``_texts``, with the places of anchors in each stretch."""
+    for batch in batches:
+        at = [p.values.field("at").to_numpy() for p in batch.column("places")]
+        number = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("t")], names=["id", "t"])
+        for rows, codes, offsets, begins in _texts([number], least, chunk_chars):
+            size = np.diff(offsets)
+            mine = [at[r] - b for r, b in zip(rows.tolist(), begins.tolist())]
+            mine = [p[(p >= 0) & (p < n + PERIOD)] for p, n in zip(mine, size.tolist())]
+            text = np.repeat(np.arange(len(rows)), [len(p) for p in mine])
+            yield batch.column("doc").to_numpy()[rows], codes, offsets, begins, text, np.concatenate(mine) + offsets[text]
 
 
-def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
+def _emit_windows(length: int, chunk_chars: int):
     """Per block: spans settled inside it (sure; h2 is their end), and the windows
     that must meet those of other blocks. One row form serves both, so that one pass
     over the texts and one shuffle do."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bitmap.value
-        for ids, codes, offsets, begins in _texts(batches, length, chunk_chars):
-            text, at, h = _anchors(offsets, codes, length)
-            mine = _holds(held, h)
-            if parts > 1:
-                mine &= mix(h, 77) % _U(parts) == _U(part)
-            text, at = text[mine], at[mine]
+        for ids, codes, offsets, begins, text, at in _placed(batches, length, chunk_chars):
             if not len(at):
                 continue
             # windows that hold an anchor begin in [anchor - slack, anchor]
@@ -250,32 +377,45 @@ def _emit_windows(bitmap, part: int, parts: int, length: int, chunk_chars: int):
     return run
 
 
-def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, max_filter_bytes: int = MAX_FILTER_BYTES, chunk_chars: int = CHUNK_CHARS, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def _with_texts(rows: DataFrame, places: DataFrame, count: int, broadcast_rows: int) -> DataFrame:
+    """(doc, t, places) of the texts that hold one of ``places`` (h, doc, at)."""
+    per = places.groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("places"))
+    per = F.broadcast(per) if count <= broadcast_rows else per
+    return rows.withColumnRenamed("id", "doc").join(per, "doc").select("doc", "t", "places")
+
+
+def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, broadcast_rows: int = BROADCAST_ROWS, chunk_chars: int = CHUNK_CHARS, hot_rows: int = HOT_ROWS, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(key, span_start, span_end): the maximal stretches of each record's text
     that lie in runs of ``length`` or more characters of another record."""
     if length < PERIOD + 16:
         raise ValueError(f"length must be at least {PERIOD + 16}")
-    spark = df.sparkSession
     rows = df.where(F.char_length(text) >= length).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    anchors = rows.mapInArrow(_emit_anchors(length, chunk_chars), "h bigint, low bigint, high bigint")
-    merged = anchors.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).where("low <> high")
-    held = cut(merged.select("h", "n"))
-    count, most = held.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    shared = held.select("h")
-    parts = max(1, -(-count * BITS_PER_ANCHOR // (8 * max_filter_bytes)))
-    found = None
-    for part in range(parts):
-        mine = shared if parts == 1 else shared.mapInArrow(_of_part(part, parts), "h bigint")
-        bitmap = spark.sparkContext.broadcast(_bitmap(mine, -(-count // parts)))
-        one = rows.mapInArrow(_emit_windows(bitmap, part, parts, length, chunk_chars), "h1 bigint, h2 bigint, doc bigint, a bigint, sure boolean")
-        found = one if found is None else found.unionByName(one)
-    salts = -(-most // hot_blocks)
-    if salts > 1:
-        found = _salted(found, salts, length)
+    anchors = rows.mapInArrow(_emit_anchors(length, chunk_chars), "h bigint, low bigint, high bigint, mask bigint, n bigint")
+    merged = anchors.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("mask").alias("mask"), F.sum("n").alias("n"), F.count("*").alias("blocks"))
+    # an anchor at one remainder only tells no more than the first remainder's
+    merged = merged.where((F.col("low") != F.col("high")) & ((F.bit_count("mask") > 1) | (F.col("mask") == 1)))
+    shared = cut(merged.select("h", (F.col("n") > hot_rows).alias("hot"), "blocks"))
+    count, most = shared.agg(F.count("*"), F.coalesce(F.max(F.when(F.col("hot"), F.col("blocks"))), F.lit(0))).first()
+    told = shared.select("h", "hot")
+    all_places = rows.mapInArrow(_emit_places(length, chunk_chars), "h bigint, doc bigint, at bigint")
+    places = cut(all_places.join(F.broadcast(told) if count <= broadcast_rows else told, "h"))
+    count = places.count()
+    texts = _with_texts(rows, places.where("not hot"), count, broadcast_rows)
+    contexts = texts.mapInArrow(_emit_contexts(length), "h bigint, doc bigint, at bigint, left string, right string")
+    spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length), "doc bigint, a bigint, b bigint")
+    if most:
+        hot = _with_texts(rows, places.where("hot"), count, broadcast_rows)
+        found = hot.mapInArrow(_emit_windows(length, chunk_chars), "h1 bigint, h2 bigint, doc bigint, a bigint, sure boolean")
+        salts = -(-most // hot_blocks)
+        spans = spans.unionByName(_meet(_salted(found, salts, length) if salts > 1 else found, length))
+    return merge_spans(spans, "doc", "a", "b").select(F.col("doc").alias(key), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
+
+
+def _meet(found: DataFrame, length: int) -> DataFrame:
+    """Spans of the windows that two records hold."""
     w = W.partitionBy("h1", "h2")
     met = found.withColumns({"low": F.min("doc").over(w), "high": F.max("doc").over(w)}).where("sure or (low <> high and a >= 0)")
-    spans = met.select("doc", "a", F.when(F.col("sure"), F.col("h2")).otherwise(F.col("a") + length).alias("b"))
-    return merge_spans(spans, "doc", "a", "b").select(F.col("doc").alias(key), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
+    return met.select("doc", "a", F.when(F.col("sure"), F.col("h2")).otherwise(F.col("a") + length).alias("b"))
 
 
 def _salted(found: DataFrame, salts: int, length: int) -> DataFrame:
@@ -297,15 +437,6 @@ def _salted(found: DataFrame, salts: int, length: int) -> DataFrame:
     return met.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def _of_part(part: int, parts: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy()
-            yield batch.filter(pa.array(mix(h.view(np.uint64), 77) % _U(parts) == _U(part)))
-
-    return run
-
-
 def merge_spans(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Overlapping and touching spans of a record become one."""
     w = W.partitionBy(key).orderBy(start, end)

@@ -62,14 +62,26 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed, chunk, bound, hot", [(1, 10**6, 64 << 20, 10**5), (2, 3000, 64 << 20, 2), (3, 900, 600, 10**5), (5, 700, 64 << 20, 1)])
-def test_against_brute_force(spark, seed, chunk, bound, hot):
+@pytest.mark.parametrize("seed, chunk, few, hot, blocks", [(1, 10**6, 10**6, 10**5, 10**5), (2, 3000, 10**6, 2, 2), (3, 900, 0, 10**5, 10**5), (5, 700, 0, 0, 1), (6, 900, 10**6, 4, 10**5)])
+def test_against_brute_force(spark, monkeypatch, seed, chunk, few, hot, blocks):
+    monkeypatch.setattr(spans, "GROUP_ROWS", 20)
     docs = corpus(seed)
     df = spark.createDataFrame(docs + docs[:5], "doc_id long, text string").selectExpr("*", "1 as id", "2 as h1", "3 as span_start", "4 as t").repartition(3)
-    got = spans.shared_spans(df, "doc_id", "text", max_filter_bytes=bound, chunk_chars=chunk, hot_blocks=hot)
+    got = spans.shared_spans(df, "doc_id", "text", broadcast_rows=few, chunk_chars=chunk, hot_rows=hot, hot_blocks=blocks)
     assert {tuple(x) for x in got.collect()} == brute(docs, 300) and got.count() == len(brute(docs, 300))
 
 
+def test_copies_need_one_anchor_a_period(spark):
+    """All places of copies lie at one remainder, so thirteen of fourteen anchors are left out."""
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(5000))
+    rows_ = spark.createDataFrame([(i, text) for i in range(40)], "id long, t string")
+    sent = rows_.mapInArrow(spans._emit_anchors(300, 10**6), "h bigint, low bigint, high bigint, mask bigint, n bigint").collect()
+    assert sum(x.mask == 1 for x in sent) <= 2 * len(sent) / 14 and {x.mask.bit_count() for x in sent} == {1}
+    df = rows_.withColumnsRenamed({"id": "doc_id", "t": "text"})
+    assert {tuple(x) for x in spans.shared_spans(df, "doc_id", "text").collect()} == {(i, 0, 5000) for i in range(40)}
+
+
 def test_other_lengths(spark):
     docs = corpus(4)
     df = spark.createDataFrame(docs, "doc_id long, text string")
