@@ -38,7 +38,7 @@ def p3_audit(spark: SparkSession, sf: str) -> DataFrame:
     for name, rows in zip(SOURCES, _digest_rows(spark, sf)):
         folder = shared_folder(spark, "keys")
         seen.seal(rows, folder)
-        one = cut(seen.audit_store(spark, folder).withColumn("source_table", F.lit(name)))
+        one = cut(seen.audit_store(spark, folder).where("keys > 0").withColumn("source_table", F.lit(name)))
         remove_folder(spark, folder)
         out = one if out is None else out.unionByName(one)
     return out.select("source_table", "keys", "filters", "bytes", "probes", "wrong", "rate", "bound")

@@ -63,7 +63,8 @@ def test_alignment_against_brute_force():
         text = [r.randint(0, 60) for _ in range(5)] + piece + [r.randint(0, 60) for _ in range(5)]
         want = edits(item, text)
         seen.add(want)
-        assert leaks.holds_run(np.array(item), np.array(text)) == want
+        for whole in (True, False):
+            assert bool(leaks.run_ranges(item, text, whole)) == want
     assert seen == {True, False}
 
 
@@ -86,9 +87,9 @@ def every_run(item, text):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_ranges_are_those_of_all_runs(monkeypatch, block):
-    monkeypatch.setattr(leaks, "START_BLOCK", block)
+@pytest.mark.parametrize("cells", [50, 4_000_000])
+def test_ranges_are_those_of_all_runs(monkeypatch, cells):
+    monkeypatch.setattr(leaks, "BATCH_CELLS", cells)
     r = random.Random(7)
     seen = set()
     for _ in range(80):
@@ -103,7 +104,6 @@ def test_ranges_are_those_of_all_runs(monkeypatch, block):
         got = leaks.run_ranges(np.array(item), np.array(text))
         words = {x for a, b in got for x in range(a, b)}
         assert words == every_run(item, text) and sum(b - a for a, b in got) == len(words)
-        assert bool(got) == leaks.holds_run(np.array(item), np.array(text))
         seen.add(bool(got))
     assert seen == {True, False}
 
@@ -182,20 +182,91 @@ def test_blocks_of_items_and_texts_change_nothing(spark, monkeypatch):
     d, i = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "eval_items"))
     assert rows(leaks.leaks(d, "doc_id", "text", i, "item_id", "text", chunk_chars=5_000)) == want
     assert rows(leaks.leaks(d, "doc_id", "text", i, "item_id", "text", index_words=150)) == want
+    monkeypatch.setattr(leaks, "PASS_CHARS", 25_000)
+    assert rows(leaks.leaks(d, "doc_id", "text", i, "item_id", "text")) == want
     monkeypatch.setattr(leaks, "ITEM_BLOCK_CHARS", 10**7)
+    monkeypatch.setattr(leaks, "PASS_CHARS", 10**8)
     spans = rows(leaks.removal_spans(d, "doc_id", "text", i, "item_id", "text"))
     assert rows(leaks.removal_spans(d, "doc_id", "text", i, "item_id", "text", index_words=150)) == spans
 
 
+def shard(texts, items, index_words=leaks.INDEX_WORDS, whole=True):
+    longest = int(items.sizes.max(initial=0))
+    return list(leaks._shard(texts, items.vocabulary, lambda: [items], longest, leaks.Words(), {}, index_words, whole))
+
+
 def test_long_texts_in_stretches(monkeypatch):
     monkeypatch.setattr(leaks, "LONG_CHARS", 100)
     items = leaks.Items([(1, ITEM)])
     text = "x " * 500 + ITEM + " y" * 300 + " " + ITEM
-    found = {(a, b) for _, _, r in leaks._shard([text], items, leaks.Words(), {}, 40) for a, b in r}
+    found = {(a, b) for _, _, a, b in shard([text], items, 40)}
     n = len(ITEM.split())
     assert {(500, 500 + n), (800 + n, 800 + 2 * n)} <= found
 
 
+def test_a_short_run_within_every_long_one():
+    """Long items with edits everywhere: the search near the phrases finds what the whole
+    alignment finds."""
+    r = random.Random(12)
+    seen = set()
+    for _ in range(60):
+        item = np.array([r.randint(2, 400) for _ in range(r.randint(40, 160))])
+        piece, k, longest = [], 0, r.choice([7, 8, 10])
+        while k < len(item):  # four to nine equal words, then three edits
+            n, e = r.randint(4, longest), 3
+            piece += item[k : k + n].tolist()
+            for w in item[k + n : k + n + e].tolist():
+                piece += r.choice([[], [999], [w, 998]])
+            k += n + e
+        whole, near = (bool(leaks.run_ranges(item, piece, x)) for x in (True, False))
+        assert whole == near
+        seen.add(whole)
+    assert seen == {True, False}
+
+
+def test_stray_phrases_are_no_part_of_a_span():
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    item = r.sample(words, 200)
+    text = [f"t{i}" for i in range(400)]
+    for at in range(0, 400, 30):
+        text[at : at + 4] = item[at // 2 : at // 2 + 4]
+    text[100:112] = item[40:52]
+    text[112] = "other"
+    found = shard([" ".join(text)], leaks.Items([(7, " ".join(item))]))
+    assert leaks._merged((a, b) for _, _, a, b in found) == [(100, 112)]
+
+
+def test_many_items_with_one_opening(monkeypatch):
+    """Pairs that share the opening only are told apart without a call for each."""
+    import time
+
+    r = random.Random(4)
+    opening = "what is the best way to answer"
+    items = leaks.Items([(i, opening + " " + " ".join(f"i{i}x{k}" for k in range(13))) for i in range(2000)])
+    texts = [opening + " " + " ".join(f"t{r.randint(0, 10**6)}" for _ in range(30)) for _ in range(100)] + [opening + " " + " ".join(f"i77x{k}" for k in range(13))]
+    began = time.perf_counter()
+    assert {(n, i) for n, i, _, _ in shard(texts, items)} == {(100, 77)}
+    assert time.perf_counter() - began < 5
+    monkeypatch.setattr(leaks, "PAIRS", 500)
+    assert {(n, i) for n, i, _, _ in shard(texts[95:], items)} == {(5, 77)}
+
+
+def test_long_items_are_quick():
+    import time
+
+    r = random.Random(5)
+    item = [r.randint(2, 3000) for _ in range(800)]
+    text = [r.randint(2, 3000) for _ in range(50)] + [w if r.random() > 0.1 else 9999 for w in item]
+    for whole, bound in ((True, 2), (False, 0.2)):
+        began = time.perf_counter()
+        got = leaks.run_ranges(item, text, whole)
+        took = time.perf_counter() - began
+        print(whole, took)
+        assert got and took < bound, (got, took)
+    assert len(got := leaks.run_ranges(item, text)) == 1 and got[0][1] - got[0][0] > 780
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_planted_runs_are_found(spark, seed):
     """Every run with allowed edits holds an unchanged phrase, so none is missed."""
