@@ -8,22 +8,29 @@ longest distance and its path. Only nodes that other fragments link to (entries)
 form the quotient graph, whose links are the contracted chains. It is solved by
 the same operator over fewer fragments of the same size, until one is left; then
 each level's results are expanded: a node's rows are its local roots and, for
-every exit, its distance plus the exit's solution. A cycle across fragments is a
+every exit, its distance plus the exit's solution. Where the order keeps too few
+related nodes together for the quotient to be small, its nodes are placed anew by
+their links: one in ``HEADS`` is a head by hash, pointers double towards the next
+head, and nodes with one head lie together. So a chain or tree in any order shrinks
+by about that factor in every round, in fragments of bounded size. A cycle across fragments is a
 strongly connected component of the quotient; the nodes of a fragment on it are
 those on a way from one of its entries to one of its exits.
 
 Links carry distance, path and the least name that a way along them passes, so
 the least name on any cycle survives contraction.
 
-Scale: a fragment's size is a parameter, not a property of the data; a node that
-a third of all nodes link to is one entry. Rows leave a task only per (node,
-root) or (node, exit), never per path.
+Scale: a fragment's size is a parameter, not a property of the data, as long as nodes
+have few links each; a node that a third of all nodes link to is one entry, and the
+nodes of a head with too many are spread. Only where nodes with many links each lead
+everywhere does a round not shrink the quotient even when it lies by its links; then
+fragments grow, for lack of anything to contract (figures in the README). Rows leave
+a task only per (node, root) or (node, exit), never per path.
 
 Defined results: a node may link to several others (then it has a row for each
 root it reaches); repeated links are one; links to unknown names, or of null or
 unknown sources, are ignored; null names are no nodes; a node that links to
-itself is on a cycle; of several longest paths one is taken, the same in every
-run; empty input gives an empty result; extra columns are dropped.
+itself is on a cycle; of several longest paths the least is taken, name by name from
+the node on; empty input gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,10 +38,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..session import cut
+from ..session import cut, cut_plain, shuffle_partitions
 
 FRAGMENT_NODES = 20_000
+#: Nodes that a fragment has at least where more fragments would only use more tasks.
+LEAST_NODES = 5_000
+#: One node in HEADS is a head; pointers double DOUBLINGS times; quantiles of the places.
+HEADS, DOUBLINGS, QUANTILES = 8, 5, 64
 
 _ROWS = "f int, src string, kind string, dst string, g int, dist bigint, low string, path array<string>"
 
@@ -42,7 +54,8 @@ _ROWS = "f int, src string, kind string, dst string, g int, dist bigint, low str
 class _Local:
     """One fragment: strongly connected components, then longest ways bottom-up."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: pd.DataFrame, paths: bool = False):
+        self.paths = paths
         self.fragment = int(rows["f"].iloc[0])
         self.links: dict[str, list[tuple]] = {}
         self.outer: dict[str, list[tuple]] = {}
@@ -131,12 +144,12 @@ class _Local:
             exits: dict[str, tuple] = {}
             bad = self.cyc.get(v)
             for r, dist, path in self.ends.get(v, ()):
-                if r not in roots or dist > roots[r][0]:
+                if r not in roots or (-dist, path) < (-roots[r][0], roots[r][2]):
                     roots[r] = (dist, None, path)
             for x, g, dist, low, path in self.outer.get(v, ()):
                 self.frag_of[x] = g
                 old = exits.get(x)
-                if old is None or dist > old[0]:
+                if old is None or (-dist, path) < (-old[0], old[2]):
                     exits[x] = (dist, None, path, low if old is None else min(low, old[3]))
                 elif low < old[3]:
                     exits[x] = (*old[:3], low)
@@ -145,11 +158,11 @@ class _Local:
                 if b is not None and (bad is None or b < bad):
                     bad = b
                 for r, way in self.roots[c].items():
-                    if r not in roots or way[0] + dist > roots[r][0]:
+                    if r not in roots or self._better(way[0] + dist, c, path, r, roots[r], self.roots):
                         roots[r] = (way[0] + dist, c, path)
                 for x, way in self.exits[c].items():
                     old, least = exits.get(x), min(low, way[3])
-                    if old is None or way[0] + dist > old[0]:
+                    if old is None or self._better(way[0] + dist, c, path, x, old, self.exits):
                         exits[x] = (way[0] + dist, c, path, least if old is None else min(least, old[3]))
                     elif least < old[3]:
                         exits[x] = (*old[:3], least)
@@ -158,6 +171,13 @@ class _Local:
                 roots = {}
             self.roots[v], self.exits[v] = roots, exits
 
+    def _better(self, dist: int, child: str, path: tuple, end: str, old: tuple, table: dict[str, dict]) -> bool:
+        """Whether a way is longer than the old one, or as long and its path less."""
+        if dist != old[0] or not self.paths:
+            return dist > old[0]
+        mine, its = [*path, *self._path(child, end, table)], list(old[2])
+        return mine < (its if old[1] is None else its + self._path(old[1], end, table))
+
     def _ring(self, part: list[str], inside: set[str], least: str) -> None:
         bad, name = least, min(part)
         exits: dict[str, tuple] = {}
@@ -269,30 +289,60 @@ def _padded(df: DataFrame, kind: str, low: str | None = None) -> DataFrame:
     )
 
 
-def _contract(rows: DataFrame, fragments: int, fragment_nodes: int, paths: bool) -> tuple[DataFrame, int]:
-    """The quotient's rows and its number of fragments: as many as its nodes fill,
-    and at most half as many as before."""
-    small = cut(rows.unionByName(_entries(rows)).groupBy("f").applyInPandas(lambda x: _Local(x).rows(False, paths), _ROWS))
-    filled = -(-small.select("src").distinct().count() // fragment_nodes)
-    fan = -(-fragments // max(1, min(filled, fragments // 2)))
-    wider = {c: F.expr(f"{c} div {fan}").cast("int") for c in ("f", "g")}
-    return small.withColumns(wider), -(-fragments // fan)
-
-
-def _solve(rows: DataFrame, fragments: int, fragment_nodes: int, paths: bool) -> DataFrame:
+def _contract(rows: DataFrame, size: tuple[int, int, bool], fragment_nodes: int, paths: bool) -> tuple[DataFrame, tuple[int, int, bool]]:
+    """The quotient's rows and its size: fragments, nodes, whether they lie by their links."""
+    fragments, before, near = size
+    small = cut(rows.unionByName(_entries(rows)).groupBy("f").applyInPandas(lambda x: _Local(x, paths).rows(False, paths), _ROWS))
+    nodes = small.select("f", "src").distinct()
+    count = nodes.count()
+    if count <= 2 * fragment_nodes:
+        placed, fragments, near = nodes.select("src", F.lit(0).alias("_f")), 1, False
+    elif 2 * count <= before:
+        # neighbours merge while they fit: one row per fragment is summed up
+        per = nodes.groupBy("f").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.orderBy("f").rowsBetween(W.unboundedPreceding, -1))
+        wider = per.withColumn("_upto", F.coalesce(upto, F.lit(0))).select("f", F.expr(f"_upto div {fragment_nodes}").cast("int").alias("_f"))
+        placed, fragments, near = nodes.join(wider, "f").select("src", "_f"), -(-count // fragment_nodes), False
+    elif near and 4 * count > 3 * before:
+        # nothing left to contract between so many: larger fragments
+        placed, fragments = nodes.select("src", F.expr("f div 2").alias("_f")), -(-fragments // 2)
+    else:
+        by_link, fragments = _place(_gathered(small, nodes, fragments), -(-count // fragment_nodes))
+        placed, near = by_link.select(F.col("name").alias("src"), F.col("f").alias("_f")), True
+    placed = cut_plain(placed) if fragments > 1 else placed
+    moved = small.drop("f").join(placed, "src").withColumnRenamed("_f", "f")
+    target = placed.select(F.col("src").alias("dst"), F.col("_f").alias("_g"))
+    linked = moved.where("kind = 'link'").drop("g").join(target, "dst").withColumnRenamed("_g", "g")
+    moved = moved.where("kind <> 'link'").unionByName(linked)
+    return (cut_plain(moved) if fragments > 1 else moved), (fragments, count, near)
+
+
+def _gathered(small: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    """(name, place): nodes whose ways lead to one head within a bounded number of steps
+    have one place."""
+    up = small.where("kind = 'link'").groupBy("src").agg(F.min("dst").alias("up"))
+    head = F.pmod(F.xxhash64("src", F.lit(salt)), F.lit(HEADS)) == 0
+    at = nodes.select("src").join(up, "src", "left").select("src", F.when(head, F.col("src")).otherwise(F.coalesce("up", "src")).alias("at"))
+    for _ in range(DOUBLINGS):
+        at = cut_plain(at)
+        at = at.join(at.select(F.col("src").alias("at"), F.col("at").alias("next")), "at").select("src", F.col("next").alias("at"))
+    return cut_plain(at).select(F.col("src").alias("name"), F.xxhash64("at").cast("double").alias("place"))
+
+
+def _solve(rows: DataFrame, size: tuple[int, int, bool], fragment_nodes: int, paths: bool) -> DataFrame:
     """(src, kind, dst, dist, low, scc, path): kind ``root`` per root reached, or
     one ``cyc`` row with the least name on a reachable cycle (low) and the label of
     the node's own cycle (scc, null off the cycles)."""
-    if fragments <= 1:
-        local = cut(rows.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True, paths), _ROWS))
+    if size[0] <= 1:
+        local = cut(rows.groupBy("f").applyInPandas(lambda x: _Local(x, paths).rows(True, paths), _ROWS))
         return _settle(local.where("kind in ('root', 'cyc', 'on')").select("src", "kind", "dst", "dist", "low", "path"))
-    solved = cut(_solve(*_contract(rows, fragments, fragment_nodes, paths), fragment_nodes, paths))
+    solved = cut(_solve(*_contract(rows, size, fragment_nodes, paths), fragment_nodes, paths))
     labels = solved.where("kind = 'cyc' and scc is not null").select(F.col("src").alias("name"), F.col("scc").alias("label"))
     cross = rows.where("kind = 'link' and f <> g")
     exits = cross.select("f", F.col("dst").alias("name")).distinct().join(labels, "name").select("f", F.col("name").alias("src"), "label")
     entries = _entries(rows).select("f", F.col("src").alias("name")).join(labels, "name").select("f", F.col("name").alias("src"), "label")
     told = rows.unionByName(_padded(entries, "in", "label")).unionByName(_padded(exits, "out", "label"))
-    local = cut(told.groupBy("f").applyInPandas(lambda x: _Local(x).rows(True, paths), _ROWS))
+    local = cut(told.groupBy("f").applyInPandas(lambda x: _Local(x, paths).rows(True, paths), _ROWS))
     own = local.where("kind in ('root', 'cyc', 'on')").select("src", "kind", "dst", "dist", "low", "path")
     a, b = local.where("kind = 'link'").alias("a"), solved.alias("b")
     beyond = a.join(b, F.col("a.dst") == F.col("b.src")).select(
@@ -310,19 +360,26 @@ def _settle(rows: DataFrame) -> DataFrame:
     cyc = rows.where("kind in ('cyc', 'on')").groupBy("src").agg(
         F.min(F.when(F.col("kind") == "cyc", F.col("low"))).alias("low"), F.min(F.when(F.col("kind") == "on", F.col("low"))).alias("scc")
     )
-    roots = rows.where("kind = 'root'").join(cyc, "src", "left_anti").groupBy("src", "dst").agg(F.max(F.struct("dist", "path")).alias("x"))
+    roots = rows.where("kind = 'root'").join(cyc, "src", "left_anti").groupBy("src", "dst").agg(F.min(F.struct((-F.col("dist")).alias("minus"), "path")).alias("x"))
     null = F.lit(None).cast("string")
-    return roots.select("src", F.lit("root").alias("kind"), "dst", "x.dist", null.alias("low"), null.alias("scc"), "x.path").unionByName(
+    return roots.select("src", F.lit("root").alias("kind"), "dst", (-F.col("x.minus")).alias("dist"), null.alias("low"), null.alias("scc"), "x.path").unionByName(
         cyc.select("src", F.lit("cyc").alias("kind"), null.alias("dst"), F.lit(None).cast("bigint").alias("dist"), "low", "scc", F.lit(None).cast("array<string>").alias("path"))
     )
 
 
-def _fragments(nodes: DataFrame, links: DataFrame, fragment_nodes: int) -> tuple[DataFrame, int]:
-    """Rows of all nodes and links, by fragment of their source; the fragments' number."""
+def _fragments(nodes: DataFrame, links: DataFrame, fragment_nodes: int, least_nodes: int = LEAST_NODES) -> tuple[DataFrame, tuple[int, int, bool]]:
+    """Rows of all nodes and links, by fragment of their source; and the size. There are
+    as many fragments as their bound asks for, or as there are tasks to work on them."""
     nodes = cut(nodes.where(F.col("name").isNotNull()).groupBy("name").agg(F.min(F.coalesce("place", F.lit(0)).cast("double")).alias("place")))
-    count = nodes.count()
-    fragments = max(1, -(-count // fragment_nodes))
-    placed, fragments = _place(nodes, fragments)
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    count, bounds = nodes.agg(F.count("*"), F.percentile_approx("place", shares, 100 * QUANTILES)).first()
+    fragments = max(1, -(-count // fragment_nodes), min(shuffle_partitions(nodes.sparkSession), count // least_nodes))
+    bounds = sorted({bounds[i * QUANTILES // fragments - 1] for i in range(1, fragments)}) if 1 < fragments <= QUANTILES else []
+    if len(bounds) + 1 == fragments:
+        above = F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("place")) if bounds else F.array()
+        placed = nodes.select("name", F.size(above).alias("f"))
+    else:
+        placed, fragments = _place(nodes, fragments)
     named = links.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
     to = named.join(placed.select(F.col("name").alias("dst"), F.col("f").alias("g")), "dst")
     full = placed.withColumnRenamed("name", "src").join(to, "src", "left")
@@ -337,7 +394,7 @@ def _fragments(nodes: DataFrame, links: DataFrame, fragment_nodes: int) -> tuple
         F.col("src").alias("low"),
         F.when(linked, F.array("dst")).otherwise(F.array().cast("array<string>")).alias("path"),
     )
-    return cut(rows), fragments
+    return cut(rows), (fragments, count, False)
 
 
 def _place(nodes: DataFrame, fragments: int) -> tuple[DataFrame, int]:
@@ -349,7 +406,7 @@ def _place(nodes: DataFrame, fragments: int) -> tuple[DataFrame, int]:
     return cut(ranged.select("name", F.spark_partition_id().alias("f"))), fragments
 
 
-def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES, paths: bool = True) -> DataFrame:
+def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES, paths: bool = True, least_nodes: int = LEAST_NODES) -> DataFrame:
     """(node, root, depth, path, cycle) from nodes (name, place) and links (src, dst).
 
     ``place`` is any number that orders nodes so that related ones are near (load
@@ -358,7 +415,7 @@ def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGME
     such a cycle, depth -1 on a cycle and -2 otherwise, no path; nodes of one cycle
     (strongly connected component) share a value of ``cycle``.
     """
-    solved = _solve(*_fragments(nodes, links, fragment_nodes), fragment_nodes, paths)
+    solved = _solve(*_fragments(nodes, links, fragment_nodes, least_nodes), fragment_nodes, paths)
     cyc = F.col("kind") == "cyc"
     return solved.select(
         F.col("src").alias("node"),
@@ -369,12 +426,12 @@ def hierarchies(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGME
     )
 
 
-def _reach(rows: DataFrame, fragments: int, fragment_nodes: int) -> DataFrame:
+def _reach(rows: DataFrame, size: tuple[int, int, bool], fragment_nodes: int) -> DataFrame:
     shape = "f int, src string, kind string, dst string"
     local = rows.groupBy("f").applyInPandas(lambda x: _Local(x).reach(True), shape)
-    if fragments <= 1:
+    if size[0] <= 1:
         return local.select("src", "dst").distinct()
-    beyond = cut(_reach(*_contract(rows, fragments, fragment_nodes, False), fragment_nodes))
+    beyond = cut(_reach(*_contract(rows, size, fragment_nodes, False), fragment_nodes))
     local = cut(local)
     inner = local.where("kind = 'in'").select("src", "dst")
     exits = local.where("kind = 'link'").select("src", F.col("dst").alias("x"))
@@ -384,15 +441,15 @@ def _reach(rows: DataFrame, fragments: int, fragment_nodes: int) -> DataFrame:
     return inner.unionByName(doors.select("src", F.col("x").alias("dst"))).unionByName(through).distinct()
 
 
-def reachability(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+def reachability(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES, least_nodes: int = LEAST_NODES) -> DataFrame:
     """(src, dst): every node with every node it reaches over one or more links,
     by the same contraction; a node reaches itself only on a cycle."""
-    return _reach(*_fragments(nodes, links, fragment_nodes), fragment_nodes)
+    return _reach(*_fragments(nodes, links, fragment_nodes, least_nodes), fragment_nodes)
 
 
-def descendants(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+def descendants(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES, least_nodes: int = LEAST_NODES) -> DataFrame:
     """(node, descendant): links run from child to parent."""
-    return reachability(nodes, links, fragment_nodes).select(F.col("dst").alias("node"), F.col("src").alias("descendant"))
+    return reachability(nodes, links, fragment_nodes, least_nodes).select(F.col("dst").alias("node"), F.col("src").alias("descendant"))
 
 
 def _flood(rows: pd.DataFrame) -> pd.DataFrame:
@@ -417,16 +474,16 @@ def _flood(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(x, "in") for x in reached] + [(x, "link") for x in exits], columns=["src", "kind"])
 
 
-def _flooded(rows: DataFrame, fragments: int, fragment_nodes: int, starts: DataFrame) -> DataFrame:
+def _flooded(rows: DataFrame, size: tuple[int, int, bool], fragment_nodes: int, starts: DataFrame) -> DataFrame:
     def run(more: DataFrame) -> DataFrame:
         told = rows.unionByName(_padded(more, "start"))
         return cut(told.groupBy("f").applyInPandas(_flood, "src string, kind string"))
 
     near = run(starts)
-    if fragments <= 1:
+    if size[0] <= 1:
         return near.where("kind = 'in'").select("src").distinct()
     exits = near.where("kind = 'link'").select("src").distinct()
-    quotient, wider = _contract(rows, fragments, fragment_nodes, False)
+    quotient, wider = _contract(rows, size, fragment_nodes, False)
     beyond = _flooded(quotient, wider, fragment_nodes, exits.join(quotient.select("f", "src").distinct(), "src").select("f", "src"))
     doors = cut(exits.unionByName(beyond).distinct())
     inside = run(starts.unionByName(doors.join(rows.select("f", "src").distinct(), "src").select("f", "src")))
@@ -436,6 +493,6 @@ def _flooded(rows: DataFrame, fragments: int, fragment_nodes: int, starts: DataF
 def reached(nodes: DataFrame, links: DataFrame, starts: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
     """(name) of all nodes reached from ``starts`` (name) over one or more links. The
     result and all between grow with the nodes, not with pairs of them."""
-    rows, fragments = _fragments(nodes, links, fragment_nodes)
+    rows, size = _fragments(nodes, links, fragment_nodes)
     placed = rows.select("f", "src").distinct().join(starts.select(F.col("name").alias("src")).distinct(), "src", "left_semi").select("f", "src")
-    return _flooded(rows, fragments, fragment_nodes, placed).select(F.col("src").alias("name"))
+    return _flooded(rows, size, fragment_nodes, placed).select(F.col("src").alias("name"))

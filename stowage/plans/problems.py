@@ -9,6 +9,8 @@ from ..functions import digests, times
 from ..operators import compaction, hierarchy, intervals, orphans
 from ..session import cut, remove_folder, shared_folder, table
 
+#: Nodes of a fragment of problem 1 where more only serve more tasks.
+LEAST_NODES = 200
 MAX_GAP_US = 72 * 3_600_000_000
 
 
@@ -66,20 +68,21 @@ def _unmark(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    out = hierarchy.hierarchies(*forest(spark, sf), paths=False)
+    out = hierarchy.hierarchies(*forest(spark, sf), paths=False, least_nodes=LEAST_NODES)
     return _unmark(out, "node", "root").select("forest", "node", "root", "depth")
 
 
 def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest way from each root down to each node, as text."""
-    out = hierarchy.hierarchies(*forest(spark, sf)).where("depth >= 0")
+    """The longest way from each root down to each node, as text; of ways as long the
+    least, name by name from the node on."""
+    out = hierarchy.hierarchies(*forest(spark, sf), least_nodes=LEAST_NODES).where("depth >= 0")
     down = F.concat(F.reverse(F.transform("path", lambda x: F.substring(x, F.lit(3), F.length(x)))), F.array(F.substring("node", 3, 1 << 20)))
     return _unmark(out.withColumn("way", F.array_join(down, " > ")), "node", "root").select("forest", "node", "root", "depth", "way")
 
 
 def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
     """All descendants of every node: the nodes whose links lead to it."""
-    out = hierarchy.descendants(*forest(spark, sf))
+    out = hierarchy.descendants(*forest(spark, sf), least_nodes=LEAST_NODES)
     return _unmark(out, "node", "descendant").select("forest", "node", "descendant")
 
 

@@ -66,6 +66,25 @@ select b.forest, b.n, b.least, case when r.n is null then -2 else -1 end from ba
 """
 )
 
+#: From the node towards the root, always to the least name that the longest way allows.
+P1_PATHS = (
+    P1_FOUND.split("select forest, node, root, cast(max(depth)")[0]
+    + """,
+far as (select forest, node, root, max(depth) as depth from ways group by forest, node, root),
+step as (
+  select a.forest, a.node, a.root, min(l.dst) as up from far a join links l on a.forest = l.forest and a.node = l.src
+  join far b on b.forest = a.forest and b.node = l.dst and b.root = a.root and b.depth = a.depth - 1 group by 1, 2, 3
+),
+walk(forest, node, root, depth, here, way, turn) as (
+  select forest, node, root, depth, node, node, 0 from far
+  union all
+  select w.forest, w.node, w.root, w.depth, s.up, s.up || ' > ' || w.way, w.turn + 1 from walk w
+  join step s on s.forest = w.forest and s.node = w.here and s.root = w.root where w.turn < w.depth
+)
+select forest, node, root, cast(depth as bigint) as depth, way from walk where turn = depth
+"""
+)
+
 P2_FOUND = f"""
 with {VIEWS},
 lives as (
@@ -154,4 +173,4 @@ union all
 select h, 'gap', s, t from gaps where t is not null and t - s <= 259200000000
 """
 
-SQL = {"p1_found": P1_FOUND, "p1_descendants": P1_DESCENDANTS, "p4_plan": P4_PLAN, "p4_containers": P4_CONTAINERS, "p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p4_found": P4_FOUND, "p4_archive": P4_ARCHIVE, "p5_found": P5_FOUND}
+SQL = {"p1_found": P1_FOUND, "p1_paths": P1_PATHS, "p1_descendants": P1_DESCENDANTS, "p4_plan": P4_PLAN, "p4_containers": P4_CONTAINERS, "p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p4_found": P4_FOUND, "p4_archive": P4_ARCHIVE, "p5_found": P5_FOUND}

@@ -45,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_plain(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, and forget the plan's estimates too. A checkpoint keeps them, and
+    they multiply with every join: in a loop of self-joins they grow to numbers of so many
+    digits that planning no longer ends."""
+    spark, kept = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from stowage.operators import graph, hierarchy
 
@@ -19,15 +20,15 @@ def brute(nodes, links):
                 todo += out[v]
         reach[n] = seen
     ring = {n for n in nodes if n in reach[n]}
-    found = set()
+    found, least = set(), {}
 
     def ways(n):
         if not out[n]:
-            return {n: 0}
+            return {n: (0, ())}
         best = {}
         for d in out[n]:
-            for r, k in ways(d).items():
-                best[r] = max(best.get(r, -1), k + 1)
+            for r, (k, p) in ways(d).items():
+                best[r] = min(best.get(r, (1, ())), (k - 1, (d, *p)))
         return best
 
     for n in nodes:
@@ -35,8 +36,9 @@ def brute(nodes, links):
         if bad:
             found.add((n, min(bad), -1 if n in ring else -2))
         else:
-            found |= {(n, r, k) for r, k in ways(n).items()}
-    return found, {(a, b) for a in nodes for b in reach[a]}
+            found |= {(n, r, -k) for r, (k, _) in ways(n).items()}
+            least |= {(n, r): list(p) for r, (_, p) in ways(n).items()}
+    return found, least, {(a, b) for a in nodes for b in reach[a]}
 
 
 def frames(spark, nodes, links):
@@ -52,7 +54,7 @@ def test_random_graphs_with_cycles(spark, seed, size, width):
     links |= {(r.choice(nodes), r.choice(nodes)) for _ in range(2)}
     links |= {(nodes[3], "nowhere"), ("nowhere", nodes[1])}
     n, e = frames(spark, nodes, links)
-    found, closure = brute(nodes, links)
+    found, least, closure = brute(nodes, links)
     got = hierarchy.hierarchies(n, e, fragment_nodes=width)
     table = got.collect()
     assert {(x.node, x.root, x.depth) for x in table} == found
@@ -61,6 +63,7 @@ def test_random_graphs_with_cycles(spark, seed, size, width):
             way = [x.node, *x.path]
             assert way[-1] == x.root and len(x.path) == x.depth
             assert all((a, b) in links for a, b in zip(way, way[1:]))
+            assert x.path == least[x.node, x.root]
     assert {tuple(x) for x in hierarchy.reachability(n, e, fragment_nodes=width).collect()} == closure
     starts = spark.createDataFrame([(nodes[-1],), (nodes[size // 2],), ("nowhere",), (nodes[-1],)], "name string")
     want = {b for a, b in closure if a in (nodes[-1], nodes[size // 2])}
@@ -97,6 +100,32 @@ def test_deep_chain_in_random_order(spark):
     assert all(x.path is None for x in got)
 
 
+@pytest.mark.parametrize("shape", ["chain", "tree", "star"])
+def test_no_task_takes_more_than_a_fragment(spark, monkeypatch, shape):
+    """Nodes in random order: the largest task of any round stays within twice the bound."""
+    r = random.Random(10)
+    size, bound = 12_000, 600
+    nodes = [f"n{i:05d}" for i in range(size)]
+    up = {"chain": lambda i: i - 1, "tree": lambda i: r.randrange(i), "star": lambda i: 0 if r.random() < 0.4 else i - 1}[shape]
+    links = [(nodes[i], nodes[up(i)]) for i in range(1, size)]
+    n = spark.createDataFrame([(x, r.random()) for x in nodes], "name string, place double")
+    most, plain = [], hierarchy._contract
+
+    def counted(rows_, size_, *rest):
+        small, after = plain(rows_, size_, *rest)
+        for x in (rows_, small):
+            most.append(x.groupBy("f").agg(F.countDistinct("src").alias("n")).agg(F.max("n")).first()[0])
+        return small, after
+
+    monkeypatch.setattr(hierarchy, "_contract", counted)
+    got = hierarchy.hierarchies(n, spark.createDataFrame(links, "src string, dst string"), fragment_nodes=bound, paths=False).collect()
+    depth = {nodes[0]: 0}
+    for a, b in links:
+        depth[a] = depth[b] + 1
+    assert {x.node: x.depth for x in got} == depth
+    assert len(most) >= 2 and max(most) <= 2 * bound, most
+
+
 def test_many_nodes_of_one_place(spark):
     nodes = [f"n{i:03d}" for i in range(60)]
     links = {(nodes[i], nodes[i - 1]) for i in range(1, 60)}
