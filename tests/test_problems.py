@@ -24,15 +24,15 @@ def alive(parents, ref, at):
     return None if any(s <= at and (u is None or u > at) for s, u in mine) else "deleted"
 
 
-@pytest.mark.parametrize("bound", [32 << 20, 0])
-def test_orphans_against_brute_force(spark, bound):
+@pytest.mark.parametrize("bound, parts", [(32 << 20, 8), (64, 8), (64, 1)])
+def test_orphans_against_brute_force(spark, bound, parts):
     r = random.Random(5)
     parents = [(f"k{r.randint(0, 30)}", s := r.randint(0, 400_000), r.choice([None, s + r.randint(1, 300_000)])) for _ in range(120)]
     refs = [(i, r.choice([None, "k1", f"k{r.randint(0, 45)}"]), r.choice([None, r.randint(0, 500_000)]), "clash") for i in range(600)]
     refs += refs[:50]
     p = spark.createDataFrame(parents + [(None, 1, None), ("k99", None, None)], "key string, since long, until long").selectExpr("*", "1 as ref", "2 as _days")
     d = spark.createDataFrame(refs, "id long, ref string, at long, _block string")
-    got = orphans.find_orphans(d, p, ["id", "_block"], max_filter_bytes=bound)
+    got = orphans.find_orphans(d, p, ["id", "_block"], max_filter_bytes=bound, max_parts=parts)
     want = {(i, x, ref, at, why) for i, ref, at, x in refs if ref is not None and (why := alive(parents, ref, at))}
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
@@ -49,7 +49,8 @@ def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).selectExpr("concat('k', id) as ref")
     blocks = orphans.bloom_blocks(3000)
     table = orphans.bloom_table(keys, "ref", blocks)
-    assert orphans.bloom_probe(keys, "ref", table, blocks).where("not _maybe").count() == 0
+    for parts, most in ((1, 8), (3, 8), (3, 2)):
+        assert orphans.bloom_probe(keys, "ref", table, blocks, parts, most).where("not _maybe").count() == 0
     other = spark.range(20000).selectExpr("concat('x', id) as ref")
     assert orphans.bloom_probe(other, "ref", table, blocks).where("_maybe").count() < 600
 
