@@ -8,17 +8,24 @@ depth. Repeated edges change no level or closure but count in fingerprints.
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..functions import blake3
 from ..functions.digests import trimmed
-from ..session import cut
+from ..session import cut, cut_plain
 from . import hierarchy
 
 
+def _named(rows: DataFrame, column: str, shown: int = 20) -> str:
+    """The least names, and how many more there are; empty if there are none."""
+    first = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(shown + 1).collect()]
+    more = rows.select(column).distinct().count() - shown if len(first) > shown else 0
+    return ", ".join(map(str, first[:shown])) + (f" and {more} more" if more else "")
+
+
 class CycleError(ValueError):
     """The graph has a cycle; the message lists its nodes."""
 
@@ -79,9 +86,9 @@ def levels(nodes: DataFrame, links: DataFrame, strict: bool = False) -> DataFram
     """
     solved = hierarchy.hierarchies(_placed(nodes), links, paths=False)
     if strict:
-        bad = [r.node for r in solved.where("depth = -1").orderBy("node").limit(20).collect()]
+        bad = _named(solved.where("depth = -1"), "node")
         if bad:
-            raise CycleError("cycle through " + ", ".join(bad))
+            raise CycleError("cycle through " + bad)
     return solved.where("depth >= 0").groupBy(F.col("node").alias("fqn")).agg(F.max("depth").alias("level")).select("level", "fqn")
 
 
@@ -111,9 +118,9 @@ def all_dependencies(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def plan_for(targets: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(level, fqn) of the targets and all they depend on; unknown targets raise."""
-    unknown = [r.fqn for r in unknown_targets(targets, nodes).orderBy("fqn").limit(20).collect()]
+    unknown = _named(unknown_targets(targets, nodes), "fqn")
     if unknown:
-        raise UnknownTarget("unknown: " + ", ".join(unknown))
+        raise UnknownTarget("unknown: " + unknown)
     wanted = cut(targets.select("fqn").unionByName(closure_of(targets, links)).distinct())
     return levels(nodes.join(wanted, "fqn", "left_semi"), subgraph(links, wanted), strict=True)
 
@@ -129,56 +136,71 @@ def materialize(plan: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _hash_fragment(rows: pd.DataFrame) -> pd.DataFrame:
-    """Fingerprints of all nodes of a fragment whose dependencies' are known or
-    can be computed inside it."""
+    """Fingerprints of all nodes of a fragment (rows with ``self_hash``), wave by wave;
+    the other rows are known ones of other fragments."""
     known = {n: h for n, h, own in zip(rows["fqn"], rows["known"], rows["self_hash"]) if own is None}
     todo = {n: (own, list(d)) for n, own, d in zip(rows["fqn"], rows["self_hash"], rows["deps"]) if own is not None}
-    waiting: dict[str, set] = {}
+    waiting: dict[str, int] = {}
     users: dict[str, list[str]] = {}
     for n, (_, deps) in todo.items():
-        waiting[n] = {d for d in deps if d not in known}
-        for d in waiting[n]:
+        open_ = {d for d in deps if d not in known}
+        waiting[n] = len(open_)
+        for d in open_:
             users.setdefault(d, []).append(n)
     ready, out = [n for n, w in waiting.items() if not w], []
     while ready:
-        n = ready.pop()
-        own, deps = todo[n]
-        h = hashlib.sha256((own + "".join(sorted(known[d] for d in deps))).encode()).hexdigest()
-        known[n] = h
-        out.append((n, h))
-        for u in users.get(n, ()):
-            waiting[u].discard(n)
-            if not waiting[u]:
-                ready.append(u)
+        texts = [(todo[n][0] + "".join(sorted(known[d] for d in todo[n][1]))).encode() for n in ready]
+        wave = list(zip(ready, blake3.digests(texts)))
+        known.update(wave)
+        out += wave
+        ready = []
+        for n, _ in wave:
+            for u in users.get(n, ()):
+                waiting[u] -= 1
+                if not waiting[u]:
+                    ready.append(u)
     return pd.DataFrame(out, columns=["fqn", "fingerprint"])
 
 
+def _bands(plan: DataFrame, fragment_nodes: int) -> DataFrame:
+    """(band, level, wide): successive levels of together about a fragment of nodes are a
+    band; a level of more nodes is one of its own. One row per level is summed up."""
+    per = plan.groupBy("level").agg(F.count("*").alias("n"))
+    w = W.orderBy("level")
+    wide = F.col("n") > fragment_nodes
+    slot = F.expr(f"coalesce(sum(n) over (order by level rows between unbounded preceding and 1 preceding), 0) div {fragment_nodes}")
+    marked = per.select("level", wide.alias("wide"), slot.alias("slot"))
+    new = F.col("wide") | F.coalesce(F.lag("wide").over(w) | (F.lag("slot").over(w) != F.col("slot")), F.lit(True))
+    return marked.withColumn("new", new.cast("int")).select(F.sum("new").over(w).alias("band"), "level", "wide")
+
+
 def fingerprints(nodes: DataFrame, links: DataFrame, fragment_nodes: int = hierarchy.FRAGMENT_NODES) -> DataFrame:
-    """(fqn, fingerprint): SHA-256 over the node's ``self_hash`` followed by the
+    """(fqn, fingerprint): BLAKE3 over the node's ``self_hash`` followed by the
     sorted fingerprints of its direct dependencies (with multiplicity).
 
-    Fragments hash all they can in one task; a round ends when each has used
-    what the others found, so rounds follow the alternations between fragments,
-    not the depth. Nodes that reach a cycle have no fingerprint.
+    Each node is hashed once, in the order of its level. A graph of one fragment is one
+    task; otherwise narrow levels are taken together, a fragment of nodes in a task, and
+    wide ones in as many tasks as they fill. Nodes that reach a cycle have no fingerprint.
     """
-    named = _placed(nodes).groupBy("name").agg(F.min(F.col("place").cast("double")).alias("place"))
-    fragments = max(1, -(-nodes.count() // fragment_nodes))
-    placed, _ = hierarchy._place(named, fragments)
     deps = links.groupBy("src").agg(F.collect_list("dst").alias("deps"))
-    base = cut(
-        nodes.select("fqn", "self_hash")
-        .join(placed.withColumnRenamed("name", "fqn"), "fqn")
-        .join(deps.withColumnRenamed("src", "fqn"), "fqn", "left")
-        .withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
-    )
-    asked = cut(base.select("f", F.explode("deps").alias("fqn")).distinct())
+    base = nodes.select("fqn", "self_hash").join(deps.withColumnRenamed("src", "fqn"), "fqn", "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+    base, none = cut(base), F.lit(None).cast("string")
+    shape = "fqn string, fingerprint string"
+    if base.count() <= fragment_nodes:
+        return base.select("*", none.alias("known"), F.lit(0).alias("f")).groupBy("f").applyInPandas(_hash_fragment, shape)
+    plan = cut(levels(nodes, links))
+    bands = cut(_bands(plan, fragment_nodes))
+    base = cut(base.join(plan, "fqn").join(bands, "level"))
     done: DataFrame | None = None
-    while True:
-        rows = base.select("f", "fqn", "self_hash", "deps", F.lit(None).cast("string").alias("known"))
+    # a round per band: at most two for every fragment of nodes, and no more than levels
+    for band, wide in sorted((r.band, r.wide) for r in bands.select("band", "wide").distinct().collect()):
+        mine = base.where(F.col("band") == band)
+        part = F.pmod(F.xxhash64("fqn"), F.lit(-(-mine.count() // fragment_nodes))) if wide else F.lit(0)
+        rows = mine.select(part.alias("f"), "fqn", "self_hash", "deps", none.alias("known"))
         if done is not None:
-            told = asked.join(done, "fqn").select("f", "fqn", F.lit(None).cast("string").alias("self_hash"), F.lit(None).cast("array<string>").alias("deps"), F.col("fingerprint").alias("known"))
-            rows = rows.join(done, "fqn", "left_anti").unionByName(told)
-        new = cut(rows.groupBy("f").applyInPandas(_hash_fragment, "fqn string, fingerprint string"))
-        if fragments == 1 or new.isEmpty():
-            return new if done is None else done.unionByName(new)
-        done = new if done is None else cut(done.unionByName(new))
+            asked = rows.select("f", F.explode("deps").alias("fqn")).distinct()
+            told = asked.join(done, "fqn").select("f", "fqn", none.alias("self_hash"), F.lit(None).cast("array<string>").alias("deps"), F.col("fingerprint").alias("known"))
+            rows = rows.unionByName(told)
+        new = cut_plain(rows.groupBy("f").applyInPandas(_hash_fragment, shape))
+        done = new if done is None else done.unionByName(new)
+    return done

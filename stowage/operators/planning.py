@@ -25,9 +25,9 @@ def resolve_templates(nodes: DataFrame, templates: DataFrame) -> DataFrame:
     (name, and the columns description, dependencies, cache, run, environment,
     variables, tags). Unknown templates raise."""
     used = nodes.where("template is not null").withColumn("template", trimmed("template"))
-    lost = [r.template for r in overlay.unknown_templates(used, templates).select("template").distinct().orderBy("template").limit(20).collect()]
+    lost = graph._named(overlay.unknown_templates(used, templates), "template")
     if lost:
-        raise InvalidRecipe("unknown templates: " + ", ".join(lost))
+        raise InvalidRecipe("unknown templates: " + lost)
     parts = ("description", "dependencies", "cache", "run", "environment", "variables", "tags")
     t = templates.select(F.col("name").alias("template"), F.struct(*parts).alias("t"))
     joined = used.withColumn("n", F.struct(*parts)).join(t, "template")
@@ -43,9 +43,9 @@ def plan_selection(nodes: DataFrame, pattern: str | None = None, regex: bool = F
     if templates is not None:
         nodes = resolve_templates(nodes, templates)
     plan = graph.plan_for(picked, nodes, graph.edges(nodes))
-    blank = [r.fqn for r in selection.blank_run(graph.materialize(plan, nodes)).orderBy("fqn").limit(20).collect()]
+    blank = graph._named(selection.blank_run(graph.materialize(plan, nodes)), "fqn")
     if blank:
-        raise InvalidRecipe("no command: " + ", ".join(blank))
+        raise InvalidRecipe("no command: " + blank)
     return plan
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blake3, chunking, codec, digests, render, signing, versions
-from ..operators import graph, overlay, planning, selection, store
+from ..operators import graph, overlay, planning, records, selection, store
 from ..session import cut, table
 from . import problems
 from .problems_sql import VIEWS, trim
@@ -143,11 +143,8 @@ select cast(p.level as bigint) as level, p.fqn from plan p join wanted w on p.fq
 def plan_for_targets(spark, sf):
     """The plan of all ``release`` steps and what they depend on."""
     n, e = edges(spark, sf)
-    plan = graph.levels(n, e)
-    targets = selection.select_exact(n, ":release").join(plan, "fqn", "left_semi").select("fqn")
-    below = graph.all_dependencies(n, e).join(targets.withColumnRenamed("fqn", "src"), "src", "left_semi").select(F.col("dst").alias("fqn"))
-    wanted = targets.unionByName(below).distinct()
-    return graph.levels(n.join(wanted, "fqn", "left_semi"), graph.subgraph(e, wanted))
+    good = cut(n.join(graph.levels(n, e), "fqn", "left_semi"))
+    return graph.plan_for(selection.select_exact(good, ":release").select("fqn"), good, graph.edges(good))
 
 
 @query(
@@ -205,36 +202,51 @@ def added_nodes(spark, sf):
     return graph.added(nodes(spark, sf), registered)
 
 
-_EMPTY = "coalesce({}, '')"
+#: Values of environment names that are set; all others are unset.
+VALUES = {"LOG_LEVEL": 'in"fo', "REGION_CODE": "é\n1"}
 
 
-def record_hashes(n: DataFrame) -> DataFrame:
-    """SHA-256 over environment, run, tags and variables, maps in order of their keys."""
-    pairs = F.array_sort(F.map_entries(F.coalesce("variables", F.create_map().cast("map<string,string>"))))
-    text = F.concat_ws(
-        "\x1e",
-        F.array_join(F.array_sort(F.coalesce("environment", F.array().cast("array<string>"))), "\x1f"),
-        F.coalesce("run", F.lit("")),
-        F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "\x1f"),
-        F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), F.coalesce(p["value"], F.lit("")))), "\x1f"),
-    )
-    return n.withColumn("self_hash", F.sha2(text, 256))
+def record_files(spark, sf, n: DataFrame) -> DataFrame:
+    """Input files of each node. The tables hold no sources, so the files written below
+    ``target`` stand for those of the same names below ``src``."""
+    o = outputs(spark, sf).where(digests.normal_path("path") == F.col("path"))
+    files = o.groupBy("path").agg(F.max("digest").alias("digest"))
+    patterns = n.select("fqn", digests.directory("config_path").alias("base"), F.explode("cache.inputs").alias("p"))
+    return records.input_files(patterns.select("fqn", "base", F.regexp_replace("p", "^src/", "target/").alias("pattern")), files)
+
+
+_CLEAN = f"path is not null and path = {trim('path')} and not contains(path, '//') and not contains(path, '/./') and not contains(path, chr(92)) and not contains(path, '..') and not starts_with(path, '/') and not starts_with(path, './') and not ends_with(path, '/') and not ends_with(path, '/.')"
+_OBJECT = "'{{' || array_to_string(list_transform({}, lambda x: to_json(x)::varchar || ':' || to_json({})::varchar), ',') || '}}'"
 
 
 @query(
     V
-    + """select fqn, sha256(concat_ws(chr(30),
-    array_to_string(list_sort(coalesce(environment, [])), chr(31)), coalesce(run, ''), array_to_string(coalesce(tags, []), chr(31)),
-    array_to_string(list_transform(list_sort(map_keys(coalesce(variables, map {}))), lambda k: k || '=' || coalesce(variables[k], '')), chr(31)))) as self_hash from nodes"""
+    + f""", f as (select path, max(digest) as digest from outs where {_CLEAN} group by path),
+p as (select distinct fqn, regexp_extract(config_path, '^(.*)/[^/]*$', 1) as base, regexp_replace(unnest(cache.inputs), '^src/', 'target/') as pattern from nodes),
+m as (select p.fqn, substr(f.path, length(p.base) + 2) as name, f.digest from p join f on starts_with(f.path, p.base || '/' || replace(p.pattern, '**/*', ''))),
+g as (select fqn, list(name order by string_split(name, '/')) as names, map_from_entries(list((name, digest))) as hashes from (select distinct * from m) group by fqn)
+select n.fqn, '{{"environment":' || {_OBJECT.format("list_sort(list_distinct(coalesce(n.environment, [])))", "case x when 'LOG_LEVEL' then 'in' || chr(34) || 'fo' when 'REGION_CODE' then 'é' || chr(10) || '1' else '' end")}
+  || ',"file_hashes":' || {_OBJECT.format("coalesce(g.names, [])", "g.hashes[x]")}
+  || ',"run":' || to_json(coalesce(n.run, ''))::varchar || ',"tags":[' || array_to_string(list_transform(coalesce(n.tags, []), lambda x: to_json(x)::varchar), ',')
+  || '],"variables":' || {_OBJECT.format("list_sort(map_keys(coalesce(n.variables, map {})))", "coalesce(n.variables[x], '')")} || '}}' as record
+from nodes n left join g on n.fqn = g.fqn"""
 )
+def record_texts(spark, sf):
+    """What a node's hash is over, in its canonical form."""
+    n = nodes(spark, sf)
+    return records.record_texts(n, record_files(spark, sf, n), VALUES)
+
+
+@query()
 def record_hash(spark, sf):
-    return record_hashes(nodes(spark, sf)).select("fqn", "self_hash")
+    n = nodes(spark, sf)
+    return records.record_hashes(n, record_files(spark, sf, n), VALUES)
 
 
 @query()
 def merkle_fingerprint(spark, sf):
     n, e = edges(spark, sf)
-    return graph.fingerprints(record_hashes(n), e)
+    return graph.fingerprints(n.select("fqn").join(record_hash(spark, sf), "fqn"), e)
 
 
 # -- selection --------------------------------------------------------------------------

@@ -168,19 +168,18 @@ def test_unqualified_missing_and_blank_references(spark):
     assert rows(graph.missing_dependencies(n)) == [("a:x", "b:z")]
 
 
-@pytest.mark.parametrize("width", [2, 100])
+@pytest.mark.parametrize("width", [1, 2, 100])
 def test_fingerprints(spark, width):
-    import hashlib
+    from stowage.functions import blake3
 
     links = [(f"a:{i}", f"a:{j}") for i in range(1, 8) for j in {i - 1, i // 2}]
     n, e = graph_of(spark, links)
     n = n.selectExpr("*", "sha2(fqn, 256) as self_hash", "cast(recipe as long) as place")
-    memo = {}
+    memo, own = {}, {r.fqn: r.self_hash for r in n.collect()}.get
 
     def h(x):
         if x not in memo:
-            own = hashlib.sha256(x.encode()).hexdigest()
-            memo[x] = hashlib.sha256((own + "".join(sorted(h(d) for s, d in links if s == x))).encode()).hexdigest()
+            memo[x] = blake3.digest((own(x) + "".join(sorted(h(d) for s, d in links if s == x))).encode())
         return memo[x]
 
     assert {tuple(r) for r in graph.fingerprints(n, e, width).collect()} == {(f"a:{i}", h(f"a:{i}")) for i in range(8)}
@@ -188,3 +187,19 @@ def test_fingerprints(spark, width):
     twice = e.unionByName(e.where("src = 'a:1'").limit(1))
     changed = dict(map(tuple, graph.fingerprints(n, twice, width).collect()))
     assert changed["a:1"] != h("a:1") and changed["a:0"] == h("a:0")
+
+
+def test_fingerprints_of_wide_levels_and_cycles(spark):
+    from stowage.functions import blake3
+
+    links = [(f"a:{i}", f"a:{i % 3}") for i in range(3, 40)] + [(f"b:{i}", f"a:{i + 3}") for i in range(9)] + [("c:1", "c:2"), ("c:2", "c:1"), ("c:3", "c:1")]
+    n, e = graph_of(spark, links)
+    n = n.selectExpr("*", "fqn as self_hash")
+    deps = {a: [d for s, d in links if s == a] for a, _ in links}
+
+    def h(x):
+        return blake3.digest((x + "".join(sorted(map(h, deps.get(x, [])))).strip()).encode())
+
+    want = {(x, h(x)) for x in {y for pair in links for y in pair} if not x.startswith("c:")}
+    for width in (5, 30):
+        assert {tuple(r) for r in graph.fingerprints(n, e, width).collect()} == want

@@ -333,3 +333,70 @@ def test_plan_selection_and_templates(spark):
     assert spark.createDataFrame([(" a \n\n b",)], "t string").select(planning.text_lines("t")).first()[0] == ["a", "b"]
     files = spark.createDataFrame([("p", "d1")], "path string, digest string")
     assert rows(store.verified(spark.createDataFrame([("p", "d1"), ("q", "d2")], "path string, digest string"), files), "path", "ok") == [("p", True), ("q", False)]
+
+
+# -- record hashes -----------------------------------------------------------------
+
+RECORD = "fqn string, environment array<string>, run string, tags array<string>, variables map<string,string>"
+
+
+def test_every_part_of_a_record_changes_its_hash(spark):
+    from stowage.functions import blake3
+    from stowage.operators import records
+
+    base = ("a:b", ["FOO"], "make", ["t"], {"k": "1"})
+    hash_of = lambda row, files=(), env=None: records.record_hashes(
+        spark.createDataFrame([row], RECORD), spark.createDataFrame([("a:b", *f) for f in files], "fqn string, name string, digest string"), env or {"FOO": "bar"}
+    ).first()[1]
+    variants = [
+        hash_of(base), hash_of((*base[:2], "test", *base[3:])), hash_of((*base[:3], ["t", "u"], base[4])), hash_of((*base[:4], {"k": "2"})), hash_of(base, env={"FOO": "not"}),
+        hash_of(("a:b", [], *base[2:])), hash_of(base, [("x.c", "d1")]), hash_of(base, [("x.c", "d2")]), hash_of(base, [("y.c", "d1")]),
+    ]
+    assert len(set(variants)) == len(variants)
+    assert hash_of(base, [("b", "2"), ("a", "1")]) == hash_of(base, [("a", "1"), ("b", "2"), ("a", "1")])
+    text = '{"environment":{"FOO":"bar"},"file_hashes":{"a/b":"2","a-b":"1"},"run":"make","tags":["t"],"variables":{"k":"1"}}'
+    assert hash_of(base, [("a-b", "1"), ("a/b", "2")]) == blake3.digest(text.encode())
+
+
+def test_records_of_nulls_and_odd_texts(spark):
+    from stowage.operators import records
+
+    odd = [("a:b", None, None, None, None), ("a:c", ["É", None, "É"], 'q"\\\n\x01\x7f', [None, "é"], {"k": None})]
+    got = dict(map(tuple, records.record_texts(spark.createDataFrame(odd, RECORD)).collect()))
+    assert got["a:b"] == '{"environment":{},"file_hashes":{},"run":"","tags":[],"variables":{}}'
+    assert got["a:c"] == '{"environment":{"É":""},"file_hashes":{},"run":"q\\"\\\\\\n\\u0001\x7f","tags":["é"],"variables":{"k":""}}'
+    assert records.record_texts(spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_input_files_by_pattern(spark):
+    from stowage.operators import records
+
+    files = spark.createDataFrame([(p, p.upper()) for p in ("app/src/a.c", "app/src/d/b.c", "app/src/d/b.h", "app/x.c", "lib/y.c", "lib/_z/.y.c", "top.txt")] + [(None, "n")], "path string, digest string")
+    patterns = [("f:1", "app", "src/**/*.c"), ("f:1", "app", "src/a.c"), ("f:2", "app", "../lib/**/*.c"), ("f:3", "", "*.txt"), ("f:4", "app/src", "'../x.c'"), ("f:5", "app", "none/*"), ("f:6", None, "**/y.?"), ("f:7", "app", None)]
+    got = rows(records.input_files(spark.createDataFrame(patterns, "fqn string, base string, pattern string"), files), "fqn", "name")
+    assert got == [("f:1", "src/a.c"), ("f:1", "src/d/b.c"), ("f:2", "../lib/_z/.y.c"), ("f:2", "../lib/y.c"), ("f:3", "top.txt"), ("f:4", "../x.c"), ("f:6", "lib/y.c")]
+
+
+def test_fingerprints_against_plain_recursion(spark):
+    from oracle import DATA
+
+    from stowage.functions import blake3
+    from stowage.plans import reference
+
+    n, e = reference.edges(spark, DATA)
+    own = dict(map(tuple, reference.record_hash(spark, DATA).collect()))
+    deps = {}
+    for a, b in e.collect():
+        deps.setdefault(a, []).append(b)
+    memo = {}
+
+    def h(x, on=()):
+        if x in on:
+            return None
+        if x not in memo:
+            below = [h(d, (*on, x)) for d in deps.get(x, [])]
+            memo[x] = None if None in below else blake3.digest((own[x] + "".join(sorted(below))).encode())
+        return memo[x]
+
+    got = dict(map(tuple, reference.merkle_fingerprint(spark, DATA).collect()))
+    assert got == {x: h(x) for x in own if h(x) is not None} and len(got) > 30
