@@ -26,6 +26,10 @@ _TOKEN = re.compile(r"""\s*(?:(\()|(\))|"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|
 MAX_ARGUMENTS = 10
 
 
+#: Results of a function that a worker keeps.
+KEPT_RESULTS = 10_000
+
+
 class TemplateError(ValueError):
     """A template that cannot be parsed or a function that cannot be called."""
 
@@ -35,7 +39,7 @@ class Function:
 
     Positional arguments, at most ten, bind to the parameters in alphabetical
     order; null, list and object arguments are left out of the positions; named
-    ones win. Results are kept per argument set."""
+    ones win. The newest results are kept per argument set."""
 
     def __init__(self, name: str, run: Callable[..., Any], parameters: dict[str, dict] | None = None, returns: str = "string"):
         if returns not in ("string", "array"):
@@ -56,6 +60,8 @@ class Function:
         key = json.dumps(values, sort_keys=True, default=str)
         if key not in self.kept:
             out = self.run(**values)
+            if len(self.kept) >= KEPT_RESULTS:
+                self.kept.pop(next(iter(self.kept)))
             self.kept[key] = lines(out) if self.returns == "array" and isinstance(out, str) else out
         return self.kept[key]
 

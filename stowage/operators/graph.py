@@ -116,6 +116,12 @@ def all_dependencies(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return hierarchy.reachability(_placed(nodes), links).where("src <> dst")
 
 
+def dependency_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(fqn, dependencies): the size of every node's closure, itself excluded. A graph of
+    one fragment is counted by bit masks; a larger one over its distinct pairs."""
+    return hierarchy.reach_counts(_placed(nodes), links).select(F.col("name").alias("fqn"), F.col("reached").alias("dependencies"))
+
+
 def plan_for(targets: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(level, fqn) of the targets and all they depend on; unknown targets raise."""
     unknown = _named(unknown_targets(targets, nodes), "fqn")

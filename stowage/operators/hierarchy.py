@@ -200,9 +200,8 @@ class _Local:
         for v in part:
             self.roots[v], self.exits[v], self.bad[v], self.ring[v] = {}, exits, bad, name
 
-    def reach(self, everything: bool) -> pd.DataFrame:
-        """Rows (f, src, kind, dst): local nodes (``in``) and exits (``link``) that
-        each node, or each entry only, reaches; the local sets are bit masks."""
+    def _masks(self) -> dict[str, int]:
+        """The local nodes that each node reaches, as bits."""
         number = {v: i for i, v in enumerate(self.nodes)}
         mask: dict[str, int] = {}
         for part in self.parts:
@@ -218,6 +217,18 @@ class _Local:
                     m |= 1 << number[v]
             for v in part:
                 mask[v] = m
+        return mask
+
+    def counts(self) -> pd.DataFrame:
+        """(name, reached): how many other local nodes each node reaches, if any."""
+        mask, number = self._masks(), {v: i for i, v in enumerate(self.nodes)}
+        rows = [(v, (m & ~(1 << number[v])).bit_count()) for v, m in mask.items()]
+        return pd.DataFrame([r for r in rows if r[1]], columns=["name", "reached"])
+
+    def reach(self, everything: bool) -> pd.DataFrame:
+        """Rows (f, src, kind, dst): local nodes (``in``) and exits (``link``) that
+        each node, or each entry only, reaches."""
+        mask = self._masks()
         out: list[tuple] = []
         for v in self.nodes:
             if everything or v in self.entries:
@@ -447,6 +458,16 @@ def reachability(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGM
     return _reach(*_fragments(nodes, links, fragment_nodes, least_nodes), fragment_nodes)
 
 
+def reach_counts(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES) -> DataFrame:
+    """(name, reached): how many other nodes each node reaches, for those that reach any.
+    In one fragment no pair leaves the task."""
+    rows, size = _fragments(nodes, links, fragment_nodes, fragment_nodes)
+    if size[0] <= 1:
+        return rows.groupBy("f").applyInPandas(lambda x: _Local(x).counts(), "name string, reached bigint")
+    pairs = _reach(rows, size, fragment_nodes).where("src <> dst")
+    return pairs.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("reached"))
+
+
 def descendants(nodes: DataFrame, links: DataFrame, fragment_nodes: int = FRAGMENT_NODES, least_nodes: int = LEAST_NODES) -> DataFrame:
     """(node, descendant): links run from child to parent."""
     return reachability(nodes, links, fragment_nodes, least_nodes).select(F.col("dst").alias("node"), F.col("src").alias("descendant"))

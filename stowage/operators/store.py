@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import cut
+
+#: Rows that a time bucket of the eviction order may hold.
+BUCKET_ROWS = 1_000_000
 INDEX_SCHEMA = "digest string, algorithm string, size bigint, stored_at bigint, access_count bigint, last_accessed bigint, compression_format int"
 
 # -- index maintenance -----------------------------------------------------------
@@ -247,21 +251,28 @@ def freed(evicted: DataFrame) -> DataFrame:
     return evicted.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes"))
 
 
-def evict_to_size(index: DataFrame, target: int, bucket: int = 3_600) -> DataFrame:
+def evict_to_size(index: DataFrame, target: int, bucket: int = 3_600, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows to delete, least recently used first, until at most ``target`` bytes stay.
 
     The running sum is taken within time buckets and over the buckets' totals, so
     no task sorts the whole index: a row goes while the bytes before it are fewer
-    than those to free. A row without size frees nothing.
+    than those to free. A row without size frees nothing. Where one bucket holds more
+    than ``bucket_rows`` rows, ranges of the whole order take the place of the buckets.
     """
+    order = ("last_accessed", "stored_at", "digest")
     rows = index.withColumn("_size", F.coalesce("size", F.lit(0)).cast("bigint")).withColumn("_b", F.floor(F.col("last_accessed") / F.lit(bucket)))
-    totals = rows.groupBy("_b").agg(F.sum("_size").alias("_t"))
+    totals = cut(rows.groupBy("_b").agg(F.sum("_size").alias("_t"), F.count("*").alias("_n")))
+    most, count = totals.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) > bucket_rows:
+        ranged = rows.repartitionByRange(-(-count // bucket_rows) * 4, *order)
+        rows = cut(ranged.withColumn("_b", F.spark_partition_id().cast("bigint")))  # sampled bounds, so kept
+        totals = rows.groupBy("_b").agg(F.sum("_size").alias("_t"))
     upto = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(F.lit(0))
-    # one row per bucket: this window is as long as the calendar
+    # one row per bucket: this window is as long as the calendar, or as the ranges are many
     bases = totals.withColumns({"_base": F.coalesce(F.sum("_t").over(upto), F.lit(0)), "_need": F.sum("_t").over(whole) - F.lit(target)})
     open_ = bases.where(F.col("_base") < F.col("_need")).select(F.col("_b").alias("_c"), "_base", "_need")
     due = rows.join(open_, F.col("_b").eqNullSafe(F.col("_c")))
-    w = W.partitionBy("_b").orderBy("last_accessed", "stored_at", "digest").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_base") + F.coalesce(F.sum("_size").over(w), F.lit(0))
     return due.withColumn("_before", before).where(F.col("_before") < F.col("_need")).select(*index.columns)

@@ -61,6 +61,12 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
     return problems.latest(rows, "output_id", "recorded_at", "execution_id", "path", "key", "size", "is_executable").withColumnRenamed("key", "digest")
 
 
+def version_column(executions: DataFrame) -> str:
+    """The column with the version of the tool that ran: the one whose name ends so."""
+    (name,) = (c for c in executions.columns if c.endswith("_version"))
+    return name
+
+
 def edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     n = nodes(spark, sf)
     return n, graph.edges(n)
@@ -120,7 +126,8 @@ def plan_materialized(spark, sf):
 
 @query(CLOSURE + "select src as fqn, count(*) as dependencies from reach where src <> dst group by src")
 def closure_counts(spark, sf):
-    return graph.all_dependencies(*edges(spark, sf)).groupBy(F.col("src").alias("fqn")).agg(F.count("*").alias("dependencies"))
+    """How many nodes each one depends on, directly or not."""
+    return graph.dependency_counts(*edges(spark, sf))
 
 
 @query(V + "select name as src, ref as dst from refs where ref not in (select fqn from nodes)")
@@ -285,8 +292,7 @@ select execution_id, v as version, parts > [1::bigint, 4, 1] as newer, regexp_ma
 )
 def version_checks(spark, sf):
     e = table(spark, sf, "executions")
-    name = next(c for c in e.columns if c.endswith("_version"))
-    rows = problems.latest(e.withColumnRenamed(name, "version"), "execution_id", "recorded_at", "version")
+    rows = problems.latest(e.withColumnRenamed(version_column(e), "version"), "execution_id", "recorded_at", "version")
     return rows.select("execution_id", "version", versions.newer("version", F.lit("1.4.1")).alias("newer"), versions.prerelease("version").alias("prerelease"))
 
 

@@ -68,7 +68,8 @@ def read_manifest_files(spark: SparkSession, root: str) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     named = walk.list_files(spark, root, ignore_files=()).withColumn("action_key", digests.manifest_key(name)).where("action_key is not null")
     text = walk.with_contents(named).select("action_key", F.decode("content", "UTF-8").alias("text"))
-    return text.select("action_key", F.from_json("text", MANIFEST).alias("m")).select("action_key", "m.*").drop(F.col("m.action_key"))
+    own = MANIFEST.removeprefix("action_key string, ")
+    return text.select("action_key", F.from_json("text", own).alias("m")).select("action_key", "m.*")
 
 
 def manifest_json() -> Column:

@@ -139,6 +139,7 @@ def test_cache_results(spark):
 def test_evict_to_size_is_least(spark, blobs, target):
     index = index_of(spark, [(f"d{i:02d}", "sha256", size, 0, 1, at, 0) for i, (size, at) in enumerate(blobs)])
     gone = {r.digest for r in store.evict_to_size(index, target).collect()}
+    assert {r.digest for r in store.evict_to_size(index, target, bucket_rows=2).collect()} == gone
     order = sorted((at, f"d{i:02d}", size or 0) for i, (size, at) in enumerate(blobs))
     total, want = sum(s for _, _, s in order), set()
     for _, d, s in order:
@@ -235,7 +236,7 @@ def test_cut_points(n, letters, sizes, seed):
 
 
 def test_chunks_cover_the_content(spark):
-    text = "".join(f"Line {i}: Some content here\n" for i in range(10_000))
+    text = "".join(f"{i * i} steps, {i % 7} turns and {i * 31 % 97} rests\n" for i in range(12_000))
     df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "\0" * 200_000)], "id int, text string")
     parts = chunking.chunks(df, "id", "text").orderBy("id", "idx").collect()
     data = text.encode()
