@@ -15,7 +15,7 @@ and reach no farther.
 Words are runs of letters, digits and marks (a Han or Kana character alone, the
 latter with its voicing mark, is a word), compared after compatibility composition and case folding; apostrophes,
 soft hyphens and joiners inside a word do not count; tags, entities, numbered notes
-and link targets are blanked.
+and link targets (with their titles) of up to ``MARKUP_CHARS`` are blanked.
 
 Scale: texts are read once and never shuffled; only the items are broadcast, in
 blocks of about ``ITEM_BLOCK_CHARS``. Each index is built once and searched for every
@@ -55,7 +55,10 @@ SHORT_WORDS = 40
 PAIRS, BATCH_CELLS = 2_000_000, 4_000_000
 FAR = 1 << 20
 
-_MARKUP = r"</?[A-Za-z!][^<>]{0,200}>|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|\[\d{1,4}\]|(?<=\])\([^()\s]{1,300}\)"
+#: Markup up to MARKUP_CHARS long: beyond, a lone ``<`` in prose would blank what follows it.
+MARKUP_CHARS = 2_000
+_TARGET = r"\(\s?(?:[^()\s]|\([^()\s]{0,200}\)){1,%d}(?:\s{1,9}\"[^\"]{0,300}\")?\s?\)" % MARKUP_CHARS
+_MARKUP = rf"</?[A-Za-z!][^<>]{{0,{MARKUP_CHARS}}}>|&(?:#\d{{1,7}}|#x[0-9a-fA-F]{{1,6}}|[A-Za-z]{{2,8}});|\[\d{{1,4}}\]|(?<=\]){_TARGET}"
 _INNER = "'\u2019\u02bc\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _WORD = rf"\p{{Han}}|[\p{{Hiragana}}\p{{Katakana}}][\u3099\u309a\uff9e\uff9f]?|[\p{{L}}\p{{N}}][[\p{{L}}\p{{N}}\p{{M}}{_INNER}]--[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]]*"
 _DROP = {ord(c): None for c in _INNER}

@@ -129,13 +129,15 @@ def test_disguises_and_short_runs(spark):
         (7, " ".join(w[:4] + ["a"] + w[5:8] + ["b"] + w[9:10] + ["c"] + w[11:13])),  # three of thirteen
         (8, ITEM.replace("e", "e​").replace(" ", "\n\t  ")),
         (12, "[12] ".join(w[2:16]).replace("bridge", "[bridge](http://x.y/z)")),
+        (13, "".join(f'{x} <a href="http://x.y/{"long-path/" * 60}" class="big red">' for x in w[1:15])),
+        (14, "".join(f'[{x}](http://x.y/a_({k})/{"z" * 400} "a title") ' for k, x in enumerate(w[1:15]))),
         (9, None),
         (10, ""),
         (11, "word " * 20000 + ITEM),
         (1, "Before. " + ITEM.upper() + " After."),
     ]
     _, _, got = find(spark, texts)
-    assert got == [(1, 1), (11, 1), (12, 1), (2, 1), (4, 1), (5, 1), (6, 1), (8, 1)]
+    assert got == [(1, 1), (11, 1), (12, 1), (13, 1), (14, 1), (2, 1), (4, 1), (5, 1), (6, 1), (8, 1)]
 
 
 def test_composition(spark):
