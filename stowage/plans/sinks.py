@@ -12,6 +12,7 @@ from ..functions import codec, digests, render, signing, versions
 from ..operators import overlay, planning, selection, store
 from ..session import cut, remove_folder, shared_folder, table
 from ..sources import catalog, files, walk
+from ..streaming import index
 from . import problems, reference
 from .problems_sql import trim
 from .reference import SECRET, V, query
@@ -242,3 +243,67 @@ def layered_writes(spark, sf):
     there = reference.index(spark, sf).where("compression_format = 1").select("digest", F.lit(True).alias("there"))
     both = o.select("digest", (F.col("size") % 2 == 0).alias("ok")).unionByName(o.join(there, "digest", "left").select("digest", F.coalesce("there", F.lit(False)).alias("ok")))
     return store.any_success(both)
+
+
+@query(
+    V
+    + """, p as (select key as digest, split_part(key, ':', 1) as algorithm, stored_at, max(size) as size, row_number() over (partition by key order by stored_at desc) as rn from blob_keys where stored_at is not null group by key, stored_at),
+a as (select digest, count(*) as n, max(epoch_us(f.written_at) // 1000000) as t from outs o join (select output_id, max(written_at) as written_at from output_files group by output_id) f using (output_id) where f.written_at is not null group by digest)
+select p.digest, p.algorithm, p.size, p.stored_at, 1 + coalesce(a.n, 0) as access_count, greatest(p.stored_at, a.t) as last_accessed from p left join a on p.digest = a.digest where rn = 1"""
+)
+def streamed_index(spark, sf):
+    """The index that a stream of puts and accesses keeps."""
+    keyed = problems.blob_rows(spark, sf).where("stored_at is not null")
+    puts = keyed.groupBy(F.col("key").alias("digest"), F.col("stored_at").alias("at")).agg(F.max("size").alias("size"))
+    puts = puts.select(F.lit("put").alias("kind"), "digest", F.substring_index("digest", ":", 1).alias("algorithm"), "size", "at")
+    at = table(spark, sf, "output_files").groupBy("output_id").agg(F.unix_seconds(F.max("written_at").cast("timestamp")).alias("at")).where("at is not null")
+    null = F.lit(None)
+    accesses = reference.outputs(spark, sf).join(at, "output_id").select(F.lit("access").alias("kind"), "digest", null.cast("string").alias("algorithm"), null.cast("bigint").alias("size"), "at")
+
+    def make(root: str) -> DataFrame:
+        events = puts.unionByName(accesses)
+        events.write.parquet(root + "/in")
+        stream = spark.readStream.schema(events.schema).parquet(root + "/in")
+        index.maintain(stream, root + "/index", root + "/progress").awaitTermination()
+        last = index.read_version(spark, root + "/index", 0)
+        return last.select("digest", "algorithm", "size", "stored_at", "access_count", "last_accessed")
+
+    return _kept(spark, "stream", make)
+
+
+_TREE = "with t as (select distinct sha256(name)[1:12] as h, name from recipe_templates where name is not null), f as (select h || '/__init__.py' as path, name as body from t union all select '_gen/' || h || '.py', name || 'g' from t union all select '.env/' || h || '.txt', name from t) "
+
+
+def _tree(spark, sf, root: str) -> None:
+    """Three files for every template, below names that begin with ``_`` and ``.``."""
+    t = table(spark, sf, "recipe_templates").where("name is not null").select("name", F.substring(F.sha2("name", 256), 1, 12).alias("h")).distinct()
+    ways = F.array(
+        F.struct(F.concat("h", F.lit("/__init__.py")).alias("p"), F.col("name").alias("b")),
+        F.struct(F.concat(F.lit("_gen/"), "h", F.lit(".py")).alias("p"), F.concat("name", F.lit("g")).alias("b")),
+        F.struct(F.concat(F.lit(".env/"), "h", F.lit(".txt")).alias("p"), F.col("name").alias("b")),
+    )
+    each = t.select(F.explode(ways).alias("x"))
+    walk.write_files(each.select(F.concat(F.lit(root + "/"), "x.p").alias("path"), F.encode("x.b", "UTF-8").alias("content")))
+
+
+@query(_TREE + "select path, octet_length(encode(body))::bigint as size, sha256(body) as digest from f where path like '%.py'")
+def tree_scan(spark, sf):
+    """Files of a tree that match a pattern, with their contents' digests."""
+
+    def make(root: str) -> DataFrame:
+        _tree(spark, sf, root)
+        return files.read_files(spark, root, patterns=["**/*.py"]).select("path", "size", F.sha2("content", 256).alias("digest"))
+
+    return _kept(spark, "tree", make)
+
+
+@query(_TREE + "select path from f where path like '.env/%' or path like '\\_gen/%' escape '\\'")
+def output_expansion(spark, sf):
+    """Files at or below declared outputs, of which one does not exist."""
+
+    def make(root: str) -> DataFrame:
+        _tree(spark, sf, root)
+        outputs = spark.createDataFrame([("_gen",), (".env",), ("absent",)], "path string")
+        return files.expand_outputs(files.read_files(spark, root, contents=False), outputs).select("path")
+
+    return _kept(spark, "tree", make)
