@@ -347,7 +347,9 @@ def _solve(rows: DataFrame, size: tuple[int, int, bool], fragment_nodes: int, pa
     if size[0] <= 1:
         local = cut(rows.groupBy("f").applyInPandas(lambda x: _Local(x, paths).rows(True, paths), _ROWS))
         return _settle(local.where("kind in ('root', 'cyc', 'on')").select("src", "kind", "dst", "dist", "low", "path"))
-    solved = cut(_solve(*_contract(rows, size, fragment_nodes, paths), fragment_nodes, paths))
+    quotient, smaller = _contract(rows, size, fragment_nodes, paths)
+    solved = _solve(quotient, smaller, fragment_nodes, paths)
+    solved = cut(solved) if smaller[0] > 1 else solved  # one fragment's rows are kept already
     labels = solved.where("kind = 'cyc' and scc is not null").select(F.col("src").alias("name"), F.col("scc").alias("label"))
     cross = rows.where("kind = 'link' and f <> g")
     exits = cross.select("f", F.col("dst").alias("name")).distinct().join(labels, "name").select("f", F.col("name").alias("src"), "label")

@@ -261,7 +261,8 @@ def evict_to_size(index: DataFrame, target: int, bucket: int = 3_600, bucket_row
     """
     order = ("last_accessed", "stored_at", "digest")
     rows = index.withColumn("_size", F.coalesce("size", F.lit(0)).cast("bigint")).withColumn("_b", F.floor(F.col("last_accessed") / F.lit(bucket)))
-    totals = cut(rows.groupBy("_b").agg(F.sum("_size").alias("_t"), F.count("*").alias("_n")))
+    rows = cut(rows)
+    totals = rows.groupBy("_b").agg(F.sum("_size").alias("_t"), F.count("*").alias("_n"))
     most, count = totals.agg(F.max("_n"), F.sum("_n")).first()
     if (most or 0) > bucket_rows:
         ranged = rows.repartitionByRange(-(-count // bucket_rows) * 4, *order)
