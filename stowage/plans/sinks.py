@@ -20,7 +20,7 @@ from .reference import SECRET, V, query
 
 def _kept(spark: SparkSession, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
     """What ``make`` reads from a folder of its own, which is removed then."""
-    root = shared_folder(spark, name).removeprefix("file:")
+    root = walk.absolute(shared_folder(spark, name))
     out = cut(make(root))
     remove_folder(spark, root)
     return out

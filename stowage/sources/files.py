@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, root: str, base: str | None = None, patterns
     """(path, size, content) of every file below ``root``, whatever its name begins
     with, with paths relative to ``base``; with ``patterns`` only the files that match
     one are read. ``options``: those of :func:`walk.list_files` (ignore files)."""
-    prefix = walk._local(base or root).rstrip("/") + "/"
+    prefix = walk.absolute(base or root).rstrip("/") + "/"
     full = F.col("path")
     inside = F.when(F.startswith(full, F.lit(prefix)), F.substring(full, F.lit(len(prefix) + 1), F.length(full))).otherwise(full)
     files = walk.list_files(spark, root, **options).withColumn("name", inside)

@@ -47,6 +47,11 @@ def _local(path: str) -> str:
     return re.sub("^file:(//)?", "", path)
 
 
+def absolute(path: str) -> str:
+    """As listings name it."""
+    return path.rstrip("/") if _remote(path) else os.path.abspath(_local(path))
+
+
 def _entries(folder: str) -> Iterator[tuple[str, str, int]]:
     """(name, kind, size) of a folder's entries; kind ``d`` or ``f``."""
     if _remote(folder):
@@ -210,8 +215,7 @@ def list_files(spark: SparkSession, root: str, hidden: bool = True, ignore_files
     the tree whose lines leave files out; ``.gitignore`` only counts inside a checkout.
     ``ignore``: more lines, tied to the root.
     """
-    root = root if _remote(root) else os.path.abspath(_local(root))
-    root = root.rstrip("/") or "/"
+    root = absolute(root).rstrip("/") or "/"
     empty = spark.createDataFrame([], "path string, size bigint")
     if not _remote(root) and not os.path.isdir(root):
         return empty
